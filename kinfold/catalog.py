@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import linkage, scalars
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES: dict = {**scalars.QUERIES, **linkage.QUERIES}
+SQL: dict[str, str] = {**scalars.SQL, **linkage.SQL}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well do exact legal names within a country, with capped posting lists, find the same businesses?"""
+    return linkage.agg_macro_f05(spark, sf_dir)
