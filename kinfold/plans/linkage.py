@@ -45,7 +45,7 @@ KR = rf"""kr as (select *, [w for w in legal_words if length(w)>=3 and {LIGHT_LI
   [w for w in string_split(clean_addr,' ') if length(w)>=4 and {LIGHT_LIST}][-1] as place,
   list_distinct([w for w in string_split(clean_addr,' ') if length(w)>=3 and not regexp_full_match(w,'[0-9]+') and not list_contains({D.ADDRESS_STOP},w)]) as at_unordered,
   [w for w in string_split(clean_addr,' ') if length(w)>=3 and not regexp_full_match(w,'[0-9]+') and not list_contains({D.ADDRESS_STOP},w)] as at_all from rec),
-kr2 as (select *, [v for v, i in at_all if list_position(at_all, v) = i] as at from kr)"""
+kr2 as (select *, [v for v, i in at_all if list_position(at_all, v) = i] as ato from kr)"""
 acr = r"case when len(name_words)>=2 and length(acr0) between 2 and 6 then acr0 when len(name_words)=1 and length(name_words[1]) between 2 and 5 and regexp_full_match(name_words[1],'\pL+') then name_words[1] end"
 squeezed = lambda x: f"array_to_string([substr({x},i::int,1) for i in range(1,length({x})+1) if i=1 or substr({x},i::int,1)<>substr({x},(i-1)::int,1)],'')"
 KEY_SQL = {
@@ -65,10 +65,10 @@ KEY_SQL = {
                              spread("K", "case when p is not null then 'del_'||substr(p,1,2) else 'del_rare' end",
                                     "flatten([list_concat([w],[substr(w,1,(i-1)::int)||substr(w,(i+1)::int) for i in range(1,length(w)+1)]) for w in kw if length(w) between 6 and 12 and (p is not null or length(w)>=8)])")]),
     "L": one_key("L", "'acr_p3'", f"({acr})||'_'||substr(p,1,3)", "p is not null") + " UNION ALL " + one_key("L", "'acr_city'", f"({acr})||'_'||place", "p is null"),
-    "H1": spread("H1", "'h1'", "list_distinct([n0||'_'||w for w in at[1:3]])", "n0 is not null").replace("FROM kr ", "FROM kr2 "),
+    "H1": spread("H1", "'h1'", "list_distinct([n0||'_'||w for w in ato[1:3]])", "n0 is not null").replace("FROM kr ", "FROM kr2 "),
     "H2": spread("H2", "'h2'", "list_distinct([w||'_'||n0 for w in nt[1:2]])", "n0 is not null"),
-    "H3": spread("H3", "'h3'", "list_distinct([n0||'_'||w for w in at[-2:]])", "n0 is not null").replace("FROM kr ", "FROM kr2 "),
-    "H4": spread("H4", "'h4'", "list_distinct(flatten([[w||'_'||v for v in at[-2:]] for w in nt[1:2]]))").replace("FROM kr ", "FROM kr2 "),
+    "H3": spread("H3", "'h3'", "list_distinct([n0||'_'||w for w in ato[-2:]])", "n0 is not null").replace("FROM kr ", "FROM kr2 "),
+    "H4": spread("H4", "'h4'", "list_distinct(flatten([[w||'_'||v for v in ato[-2:]] for w in nt[1:2]]))").replace("FROM kr ", "FROM kr2 "),
 }
 
 
@@ -167,6 +167,11 @@ NAMES = [*LEXICAL, *CROSS]
 
 
 def all_keys(spark, sf_dir, names=NAMES, rare=True) -> DataFrame:
+    """The keys of the named channels, and of the two that need a vocabulary."""
+    return D.held(spark, sf_dir, f"keys {names} {rare}", lambda: _all_keys(spark, sf_dir, names, rare))
+
+
+def _all_keys(spark, sf_dir, names, rare) -> DataFrame:
     recs = D.noisy_records(spark, sf_dir)
     out = C.channel_keys(recs, names)
     if rare:
@@ -204,7 +209,7 @@ def idx_overflow_stats(spark, sf_dir):
 
 
 def pair_table(spark, sf_dir) -> DataFrame:
-    return C.candidate_pairs(all_keys(spark, sf_dir), EVERY)
+    return D.held(spark, sf_dir, "pairs", lambda: C.candidate_pairs(all_keys(spark, sf_dir), EVERY))
 
 
 @query("SELECT * FROM pairs", *PAIR_BASE)

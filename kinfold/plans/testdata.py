@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.values import ADDRESS_STOP_WORDS, LEGAL_FORMS, STOP_WORDS
 from ..operators.records import records
@@ -45,8 +46,19 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_held: dict[tuple, DataFrame] = {}
+
+
+def held(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """make(), persisted: the queries of one session share it, and a lost or evicted block is worked out again."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _held:
+        _held[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
+    return _held[key]
+
+
 def noisy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(noisy(spark, sf_dir))
+    return held(spark, sf_dir, "records", lambda: records(noisy(spark, sf_dir)))
 
 
 def truth(recs: DataFrame) -> DataFrame:
