@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def parse_lines(lines: DataFrame) -> DataFrame:
     """value -> id, ids, malformed; a line without a tab is malformed."""
     parts = F.split("value", "\t", 2)
-    ids = F.filter(F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return lines.select(F.trim(F.get(parts, F.lit(0))).alias("id"), ids.alias("ids"), (~F.contains(F.col("value"), F.lit("\t"))).alias("malformed"))
 
 

@@ -38,7 +38,7 @@ def audit_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def id_array(column: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:

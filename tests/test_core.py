@@ -88,7 +88,7 @@ def test_files(spark, tmp_path):
     assert validate.check_header("a,b", ("a", "b")) == "comma" and validate.check_header("", ("a", "b")) == "empty"
 
 
-@pytest.mark.parametrize("name", ["fn_legal", "sim_dice", "blk_e", "join_exact_clean_pair", "agg_dup_rate", "smp_stratified", "val_prefix"])
+@pytest.mark.parametrize("name", ["fn_legal", "sim_dice", "blk_e", "join_exact_clean_pair", "agg_dup_rate", "smp_stratified", "val_prefix", "src_truth", "val_unknown"])
 def test_oracle(spark, name):
     c = duckdb.connect()
     for t in ("documents", "part"):
