@@ -24,6 +24,8 @@ SKIPPABLE, LEVEL = 0x184D2A5D, 3
 ARCHIVE_BYTES = 16 << 20
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 1500, 16 << 10, 112_640
 SMALL = 1000
+#: Bytes handed to the decompressor at once; what it leaves over is read again.
+CHUNK = 16 << 10
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -140,20 +142,23 @@ def write_warc(pages: DataFrame, dictionary: bytes | None = None) -> DataFrame:
 
 
 def frames(content: bytes) -> Iterator[bytes]:
-    """The uncompressed frames of an archive, with the dictionary from its leading frame."""
+    """The uncompressed frames of an archive, with the dictionary from its leading frame; an archive cut short is an error."""
     at, dictionary = 0, None
     magic, size = struct.unpack_from("<II", content) if len(content) >= 8 else (0, 0)
     if magic == SKIPPABLE:
         dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(content[8 : 8 + size]))
         at = 8 + size
-    view = memoryview(content)[at:]
     reader = zstandard.ZstdDecompressor(dict_data=dictionary)
-    while len(view):
-        one = reader.decompressobj()
-        out = one.decompress(view)
-        yield out
-        rest = len(one.unused_data)
-        view = view[len(view) - rest :] if rest else view[:0]
+    while at < len(content):
+        one, parts = reader.decompressobj(), []
+        while not one.eof:
+            if at >= len(content):
+                raise ValueError("the archive ends within a record")
+            piece = content[at : at + CHUNK]
+            parts.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
