@@ -36,7 +36,8 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
 
 
 def words(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Lower-cased words; runs of number signs alone, such as a superscript two, are none."""
+    return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 class Pieces:
