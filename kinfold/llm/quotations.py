@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty, unstage
+from .common import let, stage, text_or_empty, unstage
 
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 SAID = r"(?i)^\s*(on\b.*\bwrote|.{0,200}\bwrote|.{0,200}\bwrites):\s*$"
@@ -40,17 +40,22 @@ def _own(lines: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """Quoted passages: runs of quoted lines of one level, each joined to one line."""
-    start = F.array().cast("array<struct<level:int,said:string>>")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(x["level"].alias("level"), F.concat_ws(" ", last["said"], x["said"]).alias("said"))
-        return F.when(
-            (F.size(done) > 0) & (last["level"] == x["level"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))
-        ).otherwise(F.concat(done, F.array(F.struct(x["level"].alias("level"), x["said"].alias("said")))))
+    """Quoted passages: runs of quoted lines of one level, each joined to one line; linear in the lines."""
+    def level(i: Column) -> Column:
+        return F.get(lines, i)["level"]
+
+    def runs(begins: Column) -> Column:
+        ends = F.transform(begins, lambda b, k: F.struct(b.alias("begin"), F.coalesce(F.get(begins, k + 1), F.size(lines)).alias("end")))
+        return F.transform(
+            F.filter(ends, lambda r: level(r["begin"]) > 0),
+            lambda r: F.struct(
+                level(r["begin"]).alias("level"),
+                F.concat_ws(" ", F.transform(F.slice(lines, r["begin"] + 1, r["end"] - r["begin"]), lambda x: x["said"])).alias("said"),
+            ),
+        )
 
-    return F.filter(F.aggregate(lines, start, add), lambda x: x["level"] > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
+    return let(begins, runs)
 
 
 def link_quotations(conversations: DataFrame) -> DataFrame:

@@ -119,8 +119,8 @@ def test_language(spark):
         assert np.exp(model.logs[at, 0]) == pytest.approx(all_cuts("▁" + w, dict.fromkeys(pieces, 1 / len(pieces))))
     rows = [(i, "the house and the river of water " * 3, "en", "s") for i in range(20)] + [(50 + i, "das Haus und der Fluss ist nicht " * 3, "de", "s") for i in range(20)]
     found = language_id.train(docs(spark, [*rows, (90, None, "en", "s"), (91, "x", None, "s")]))
-    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs(spark, [(1, "the water and the house"), (2, "und das Haus ist der Fluss"), (3, "12 34!"), (4, None), (5, "ß" * 200)]), found).collect()}
-    assert (got[1], got[2], got[3], got[4]) == ("en", "de", "und", "und") and got[5] in ("de", "en")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs(spark, [(1, "the water and the house"), (2, "und das Haus ist der Fluss"), (3, "12 34!"), (4, None), (5, "ß" * 200), (6, "½ m²"[:1])]), found).collect()}
+    assert (got[1], got[2], got[3], got[4], got[6]) == ("en", "de", "und", "und", "und") and got[5] in ("de", "en")
 
 
 def test_warc(spark):
@@ -134,6 +134,14 @@ def test_warc(spark):
     trained = warc.zstandard.train_dictionary(2048, [bytes(f"<html><p>{i} {i * 7}</p></html>" * 20, "utf8") for i in range(200)]).as_bytes()
     assert bytes(warc.write_warc(pages, trained).first().content)[:4] == (0x184D2A5D).to_bytes(4, "little")
     assert warc.write_warc(pages.limit(0)).count() == 0
+    whole = bytes(archives.first().content)
+    with pytest.raises((ValueError, warc.zstandard.ZstdError)):
+        list(warc.frames(whole[:-3]))
+    noise = np.random.default_rng(2).bytes(3 * warc.CHUNK)
+    long = warc.Archive(b"")
+    long.add(noise)
+    long.add(b"")
+    assert list(warc.frames(b"".join(long.parts)))[1:] == [noise, b""]
 
 
 def test_main_text():
@@ -173,11 +181,13 @@ def test_quotations(spark):
     rows = [
         (1, 0, "user", "First line.\nSecond line"), (1, 1, "assistant", "On Monday X wrote:\n> first  LINE.\nI agree."), (1, 2, "user", "> > First line.\n> I agree.\nMe too"), (1, 3, "user", "Alone"),
         (2, 0, "user", "> first line.\nFrom elsewhere"), (3, 0, None, None), (None, 0, "user", "> x"),
+        (4, 0, "user", "one\ntwo\nthree"), (4, 1, "user", "> one two\n> three\n" + "> > z\n> y\n" * 20_000 + "Long"),
     ]
     got = {(r.conv_id, r.turn): r for r in quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (got[1, 1].text, got[1, 1].reply_to, got[1, 1].depth) == ("I agree.", 0, 1)
     assert (got[1, 2].text, got[1, 2].reply_to, got[1, 2].thread_root, got[1, 2].depth, got[1, 2].n_quoted) == ("Me too", 1, 0, 2, 2)
-    assert got[1, 3].thread_root == 3 and got[2, 0].reply_to is None and got[2, 0].text == "From elsewhere" and got[3, 0].text == "" and len(got) == 7
+    assert got[1, 3].thread_root == 3 and got[2, 0].reply_to is None and got[2, 0].text == "From elsewhere" and got[3, 0].text == "" and len(got) == 9
+    assert (got[4, 1].reply_to, got[4, 1].text, got[4, 1].n_quoted) == (0, "Long", 40_002)
 
 
 def test_pages_against_their_markup():
