@@ -12,7 +12,9 @@ candidate, so nearly all postings go before any pair exists.
 Bounded work for hot shingles. A shingle with more than LIST nodes in its posting list makes no pairs: each
 member gets one edge to the list's smallest node. Connected components of the candidate edges form clusters;
 clusters are dealt into blocks of about BLOCK nodes, and each pair of blocks of one cluster is compared in one task as a
-blocked matrix product, which decides every pair exactly and returns one row for each node. No row is made for a pair.
+blocked matrix product, which decides every pair exactly and returns one row for each node. No row is made for a pair. In clusters of
+more than one block a set travels as its symmetric difference from the set of the cluster's smallest node: for sets A, B and
+any R, A ^ B = (A ^ R) ^ (B ^ R), so that intersections follow from the differences, which are short between near copies.
 """
 
 from __future__ import annotations
@@ -81,9 +83,10 @@ def _full_sets(k: int, wanted):
                 [
                     ids.cast(pa.int64()).take(pa.array(keep)),
                     pa.array([np.add.reduce(mix(s), dtype=U).view(np.int64).item() if len(s) else 0 for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "f1", "shingles"],
+                names=["doc_id", "f1", "n", "shingles"],
             )
 
     return run
@@ -99,18 +102,34 @@ def _bitmap(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_buckets(ids)))], names=["bucket"])
 
 
+def _differences(key, rows):
+    """Each set of a block as its symmetric difference from the cluster's reference, the same in all blocks."""
+    sets = [np.frombuffer(x, dtype=U) for x in rows.column("shingles").to_pylist()]
+    marked, f1 = rows.column("reference").to_pylist(), rows.column("f1").to_pylist()
+    reference = sets[min((i for i, x in enumerate(marked) if x), key=f1.__getitem__)]
+    keep = [i for i, x in enumerate(marked) if not x]
+    differing = [np.setxor1d(sets[i], reference, assume_unique=True).tobytes() for i in keep]
+    kept = rows.select(["cluster", "blocks", "block", "node", "copies", "n"]).take(pa.array(keep, pa.int64()))
+    return kept.append_column("shingles", pa.array(differing, pa.binary()))
+
+
 def _compare(percent: int):
-    """All pairs of a cell: links of each node, weighted by copies, and a neighbour towards a spanning forest."""
+    """All pairs of a cell: links of each node, weighted by copies, and a neighbour towards a spanning forest.
+
+    shingles holds sets, or their differences from one reference; n is the size of the set itself.
+    """
 
-    def run(key, cell):
+    def run(key, rows):
         lo, hi = key[1].as_py(), key[2].as_py()
-        sets = [np.frombuffer(x, dtype=U) for x in cell.column("shingles").to_pylist()]
-        node = np.asarray(cell.column("node")).astype(np.int64)
-        copies, side = np.asarray(cell.column("copies")), np.asarray(cell.column("block"))
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        sets = [np.frombuffer(x, dtype=U) for x in rows.column("shingles").to_pylist()]
+        node = np.asarray(rows.column("node")).astype(np.int64)
+        copies, side = np.asarray(rows.column("copies")), np.asarray(rows.column("block"))
+        sizes = np.asarray(rows.column("n")).astype(np.int64)
+        given = np.array([len(s) for s in sets], dtype=np.int64)
+        outside = sizes - given
         common = np.zeros((len(sets), len(sets)), dtype=np.float64)
         values, where = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
+        row = np.repeat(np.arange(len(sets)), given)
         shared = np.bincount(where) > 1
         column = np.cumsum(shared) - 1
         row, where = row[shared[where]], column[where[shared[where]]]
@@ -121,7 +140,7 @@ def _compare(percent: int):
             part = np.zeros((len(sets), 4096), dtype=np.float32)
             part[row[a:b], where[a:b] - begin] = 1
             common += part @ part.T
-        common = common.astype(np.int64)
+        common = common.astype(np.int64) + (outside[:, None] + outside[None, :]) // 2
         linked = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
         linked &= node[:, None] != node[None, :]
         if lo != hi:
@@ -157,21 +176,21 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_sets = stage(
-        docs.mapInArrow(_signatures(k, percent), "doc_id long, n long, f1 long, f2 long, n0 long, p long, toks array<long>"), "sets"
-    )
+    made = docs.mapInArrow(_signatures(k, percent), "doc_id long, n long, f1 long, f2 long, n0 long, p long, toks array<long>")
+    all_sets = stage(made.withColumn("rid", F.monotonically_increasing_id()), "sets")
     live = all_sets.where("n > 0 and doc_id is not null")
-    classes = live.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    classes = live.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min_by("rid", "doc_id").alias("kept"), F.count(F.lit(1)).alias("copies"))
 
     # Postings: one representative per class, its first shingles, those that other nodes have too.
-    keys = classes.select(F.col("node").alias("doc_id"), "f1", "f2")
-    reps = live.select("doc_id", "f1", "f2", "n", "n0", "p", "toks").join(keys, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    posted = reps.select(F.col("doc_id").alias("node"), "f1", "n", "n0", "p", F.explode("toks").alias("t"))
+    repeated = classes.where("copies > 1").select("f1", "f2", "kept")
+    extra = stage(live.select("rid", "f1", "f2").join(repeated, ["f1", "f2"]).where("rid <> kept").select("rid"), "extra")
+    reps = live.join(extra, "rid", "left_anti")
+    posted = reps.select("rid", F.explode("toks").alias("t"))
     df = posted.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = stage(posted.join(df, "t"), "shared")
+    shared = posted.join(df, "t").join(reps.select("rid", F.col("doc_id").alias("node"), "n", "n0", "p"), "rid")
 
     first = (F.col("t") >= 0) & (F.col("t") < F.lit(min(class_limit(percent), 2**63 - 1)))
-    by_set = Window.partitionBy("node", "f1")
+    by_set = Window.partitionBy("rid")
     ranked = shared.withColumn("tier", F.when(first, 0).otherwise(1))
     ranked = ranked.withColumn("room", F.col("p") - F.col("n0") + F.sum(1 - F.col("tier")).over(by_set))
     mask = F.lit(0)
@@ -180,7 +199,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         ranked = ranked.withColumn(f"r{bit}", rank)
         mask = mask + F.when((F.col("tier") == 1) | (F.col(f"r{bit}") <= F.col("room")), 1 << bit).otherwise(0)
     prefix = stage(ranked.withColumn("mask", mask).where("mask > 0").select("t", "node", "n", "mask"), "prefix")
-    unstage(shared)
+    unstage(extra)
 
     lists = prefix.groupBy("t").agg(F.count_distinct("node").alias("len"), F.min("node").alias("least")).where("len > 1")
     listed = prefix.join(lists, "t")
@@ -201,17 +220,29 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     buckets = clusters.select("node").mapInArrow(_bitmap, "bucket long").distinct().toPandas()["bucket"]
     wanted[buckets.to_numpy(dtype=np.int64)] = True
     found = spark.sparkContext.broadcast(wanted)
-    sets = docs.mapInArrow(_full_sets(k, found), "doc_id long, f1 long, shingles binary")
+    sets = docs.mapInArrow(_full_sets(k, found), "doc_id long, f1 long, n long, shingles binary")
     size = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    members = (
+    members = stage(
         clusters.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .join(classes.select("node", "f1", "copies"), "node")
-        .join(sets.withColumnRenamed("doc_id", "node"), ["node", "f1"]).dropDuplicates(["node", "f1"])
+        .join(sets.withColumnRenamed("doc_id", "node"), ["node", "f1"]).dropDuplicates(["node", "f1"]),
+        "members",
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    columns = ["cluster", "blocks", "block", "node", "copies", "n", "f1", "shingles"]
+    large = members.where("blocks > 1").select(*columns)
+    references = large.where("node = cluster").withColumn("block", every).withColumn("reference", F.lit(True))
+    differing = large.withColumn("reference", F.lit(False)).unionByName(references).groupBy("cluster", "block").applyInArrow(
+        _differences, "cluster long, blocks long, block long, node long, copies long, n long, shingles binary"
+    )
+    cells = differing.withColumn("other", every).select(
+        "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "copies", "n", "shingles"
     )
-    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "copies", "shingles"
+    small = members.where("blocks = 1").select("cluster", F.col("block").alias("lo"), F.col("block").alias("hi"), "node", "block", "copies", "n", "shingles")
+    compared = stage(
+        small.unionByName(cells).groupBy("cluster", "lo", "hi").applyInArrow(_compare(percent), "node long, mate long, links long"), "links"
     )
-    compared = stage(cells.groupBy("cluster", "lo", "hi").applyInArrow(_compare(percent), "node long, mate long, links long"), "links")
+    unstage(members)
     joined = components(compared.where("mate is not null").select("node", "mate"))
 
     degree = compared.groupBy("node").agg(F.sum("links").alias("links"))
