@@ -11,9 +11,9 @@ candidate, so nearly all postings go before any pair exists.
 
 Bounded work for hot shingles. A shingle with more than LIST nodes in its posting list makes no pairs: each
 member gets one edge to the list's smallest node. Connected components of the candidate edges form clusters;
-clusters are dealt into blocks of about BLOCK nodes, and each pair of blocks of one cluster is compared in one task as a
+clusters are dealt into blocks of up to BLOCK nodes and BLOCK_BYTES bytes, and each pair of blocks of one cluster is compared in one task as a
 blocked matrix product, which decides every pair exactly and returns one row for each node. No row is made for a pair. In clusters of
-more than one block a set travels as its symmetric difference from the set of the cluster's smallest node: for sets A, B and
+more than WHOLE nodes a set travels as its symmetric difference from the set of the cluster's smallest node: for sets A, B and
 any R, A ^ B = (A ^ R) ^ (B ^ R), so that intersections follow from the differences, which are short between near copies.
 """
 
@@ -29,7 +29,8 @@ from .common import components, stage, unstage
 from .shingles import many_word_hashes, mix, shingle_set
 
 LIST = 64
-BLOCK = 256
+#: Most nodes of a block of whole sets, and of a block to compare, which holds at most about BLOCK_BYTES of differences too.
+WHOLE, BLOCK, BLOCK_BYTES = 256, 2048, 8 << 20
 BITS = 22
 U = np.uint64
 
@@ -109,59 +110,76 @@ def _differences(key, rows):
     reference = sets[min((i for i, x in enumerate(marked) if x), key=f1.__getitem__)]
     keep = [i for i, x in enumerate(marked) if not x]
     differing = [np.setxor1d(sets[i], reference, assume_unique=True).tobytes() for i in keep]
-    kept = rows.select(["cluster", "blocks", "block", "node", "copies", "n"]).take(pa.array(keep, pa.int64()))
+    kept = rows.select(["cluster", "node", "copies", "n"]).take(pa.array(keep, pa.int64()))
     return kept.append_column("shingles", pa.array(differing, pa.binary()))
 
 
+def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered left with those numbered right; below 2**24, so that float32 is exact."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    _, where = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(where, minlength=1) > 1
+    column = np.cumsum(shared) - 1
+    row, where = row[shared[where]], column[where[shared[where]]]
+    order = np.argsort(where, kind="stable")
+    row, where = row[order], where[order]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    for begin in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(where, (begin, begin + 2048))
+        part = np.zeros((len(sets), 2048), dtype=np.float32)
+        part[row[a:b], where[a:b] - begin] = 1
+        common += part[left] @ part[right].T
+    return common
+
+
+def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray, total: int) -> np.ndarray:
+    """For each of total nodes one that it was reached from by links between left and right, or -1 for the first of a component."""
+    mate, seen = np.full(total, -1), np.zeros(total, dtype=bool)
+    beside = [[] for _ in range(total)]
+    for across, nodes, others in ((linked, left, right), (linked.T, right, left)):
+        for i, x in enumerate(nodes):
+            beside[x].append((across[i], others))
+    for first in range(total):
+        if seen[first]:
+            continue
+        seen[first], waiting = True, [first]
+        while waiting:
+            x = waiting.pop()
+            for touches, others in beside[x]:
+                found = others[touches & ~seen[others]]
+                seen[found], mate[found] = True, x
+                waiting.extend(found.tolist())
+    return mate
+
+
 def _compare(percent: int):
     """All pairs of a cell: links of each node, weighted by copies, and a neighbour towards a spanning forest.
 
-    shingles holds sets, or their differences from one reference; n is the size of the set itself.
+    shingles holds sets, or their differences from one reference; n is the size of the set itself. Nodes without links give no row.
     """
 
     def run(key, rows):
-        lo, hi = key[1].as_py(), key[2].as_py()
         sets = [np.frombuffer(x, dtype=U) for x in rows.column("shingles").to_pylist()]
-        node = np.asarray(rows.column("node")).astype(np.int64)
+        node, n = np.asarray(rows.column("node")).astype(np.int64), np.asarray(rows.column("n")).astype(np.int64)
         copies, side = np.asarray(rows.column("copies")), np.asarray(rows.column("block"))
-        sizes = np.asarray(rows.column("n")).astype(np.int64)
-        given = np.array([len(s) for s in sets], dtype=np.int64)
-        outside = sizes - given
-        common = np.zeros((len(sets), len(sets)), dtype=np.float64)
-        values, where = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), given)
-        shared = np.bincount(where) > 1
-        column = np.cumsum(shared) - 1
-        row, where = row[shared[where]], column[where[shared[where]]]
-        order = np.argsort(where, kind="stable")
-        row, where = row[order], where[order]
-        for begin in range(0, int(shared.sum()), 4096):
-            a, b = np.searchsorted(where, (begin, begin + 4096))
-            part = np.zeros((len(sets), 4096), dtype=np.float32)
-            part[row[a:b], where[a:b] - begin] = 1
-            common += part @ part.T
-        common = common.astype(np.int64) + (outside[:, None] + outside[None, :]) // 2
-        linked = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
-        linked &= node[:, None] != node[None, :]
-        if lo != hi:
-            linked &= side[:, None] != side[None, :]
-        root = np.arange(len(sets))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        mate: list[int | None] = [None] * len(sets)
-        for i in range(len(sets)):
-            for j in np.flatnonzero(linked[i, :i]):
-                if (x := find(i)) != (y := find(int(j))):
-                    root[x] = y
-                    if mate[x] is None:
-                        mate[x] = y
-        tree = [None if mate[i] is None else int(node[mate[i]]) for i in range(len(sets))]
-        return pa.table({"node": pa.array(node), "mate": pa.array(tree, pa.int64()), "links": pa.array((linked * copies[None, :]).sum(axis=1), pa.int64())})
+        outside = n - np.array([len(s) for s in sets], dtype=np.int64)
+        within = key[1] == key[2]
+        left = np.flatnonzero(side == key[1].as_py())
+        right = left if within else np.flatnonzero(side == key[2].as_py())
+        common = _intersections(sets, left, right)
+        linked = np.zeros(common.shape, dtype=bool)
+        for i, x in enumerate(left):
+            both = common[i].astype(np.int64) + (outside[x] + outside[right]) // 2
+            linked[i] = (100 * both >= percent * (n[x] + n[right] - both)) & (both > 0) & (node[right] != node[x])
+        links = np.zeros(len(sets), dtype=np.int64)
+        links[left] = linked @ copies[right]
+        if not within:
+            links[right] = copies[left] @ linked
+        mate = _spanning(linked, left, right, len(sets))
+        keep = np.flatnonzero(links)
+        tree = [None if m < 0 else int(node[m]) for m in mate[keep]]
+        return pa.table({"node": pa.array(node[keep]), "mate": pa.array(tree, pa.int64()), "links": pa.array(links[keep], pa.int64())})
 
     return run
 
@@ -221,7 +239,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     wanted[buckets.to_numpy(dtype=np.int64)] = True
     found = spark.sparkContext.broadcast(wanted)
     sets = docs.mapInArrow(_full_sets(k, found), "doc_id long, f1 long, n long, shingles binary")
-    size = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    size = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / WHOLE).cast("long").alias("blocks"))
     members = stage(
         clusters.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .join(classes.select("node", "f1", "copies"), "node")
@@ -232,10 +250,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     columns = ["cluster", "blocks", "block", "node", "copies", "n", "f1", "shingles"]
     large = members.where("blocks > 1").select(*columns)
     references = large.where("node = cluster").withColumn("block", every).withColumn("reference", F.lit(True))
-    differing = large.withColumn("reference", F.lit(False)).unionByName(references).groupBy("cluster", "block").applyInArrow(
-        _differences, "cluster long, blocks long, block long, node long, copies long, n long, shingles binary"
+    differing = stage(
+        large.withColumn("reference", F.lit(False)).unionByName(references).groupBy("cluster", "block")
+        .applyInArrow(_differences, "cluster long, node long, copies long, n long, shingles binary"),
+        "differences",
     )
-    cells = differing.withColumn("other", every).select(
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("long")
+    cells = differing.join(differing.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", every).select(
         "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "copies", "n", "shingles"
     )
     small = members.where("blocks = 1").select("cluster", F.col("block").alias("lo"), F.col("block").alias("hi"), "node", "block", "copies", "n", "shingles")
@@ -243,6 +265,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         small.unionByName(cells).groupBy("cluster", "lo", "hi").applyInArrow(_compare(percent), "node long, mate long, links long"), "links"
     )
     unstage(members)
+    unstage(differing)
     joined = components(compared.where("mate is not null").select("node", "mate"))
 
     degree = compared.groupBy("node").agg(F.sum("links").alias("links"))

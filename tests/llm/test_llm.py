@@ -48,7 +48,8 @@ def brute_join(rows, k, percent):
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_join(spark, k, percent, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIST", 6)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "WHOLE", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
     rows = [(i, " ".join(base[:j] + [f"n{i}"] + base[j + 1 :])) for i, j in enumerate(rng.integers(0, 120, 40))]
