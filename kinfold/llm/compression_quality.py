@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 BLOCK, DICTIONARY, LEVEL = 1024, 32_768, 3
 PER_CLASS, FIT_BYTES = 2500, 16_384
@@ -28,7 +28,7 @@ class Packer:
         self.pair = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(d) if d else None) for d in (good, bad)]
         self.good, self.bad, self.weights = good, bad, weights
 
-    def inputs(self, data: bytes) -> tuple[float, ...]:
+    def inputs(self, data: bytes | memoryview) -> tuple[float, ...]:
         """A constant, the size difference over the length, the packed share of the length, and shortness."""
         good, bad = (x.compress for x in self.pair)
         by_good = by_bad = 0
@@ -39,7 +39,7 @@ class Packer:
         size = max(1, len(data))
         return 1.0, 100.0 * (by_bad - by_good) / size, 10.0 * min(by_good, by_bad) / size, 1.0 / (1.0 + len(data) / 64.0)
 
-    def score(self, data: bytes) -> float:
+    def score(self, data: bytes | memoryview) -> float:
         z = sum(w * x for w, x in zip(self.weights, self.inputs(data), strict=True))
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, z))))
 
@@ -105,20 +105,30 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Pac
     return packer
 
 
-def score(docs: DataFrame, model: Packer) -> DataFrame:
-    """All columns of docs with quality_score, from 0 to 1; a null text is an empty one."""
-    names = docs.columns
+def score(docs: DataFrame, model: Packer, columns: list[str] | None = None) -> DataFrame:
+    """The named columns of docs, or all, with quality_score, from 0 to 1; a null text is an empty one.
+
+    A text goes to Python once and is read where it lies; it comes back only if it is among the columns.
+    """
+    names = docs.columns if columns is None else columns
+    sent, at = docs if columns is None else docs.select(*names), len(names)
+    if "text" in names and docs.schema["text"].dataType == StringType():
+        at = names.index("text")
+    elif columns is None:
+        sent = sent.withColumn("_text", F.col("text").cast("string"))
+    else:
+        sent = docs.select(*names, F.col("text").cast("string").alias("_text"))
     held = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.weights))
 
     def run(batches):
         packer = Packer(*held.value)
         for batch in batches:
-            raw = batch.column(len(names)).cast(pa.binary()).to_pylist()
-            scores = pa.array([packer.score(x or b"") for x in raw], pa.float64())
+            raw = batch.column(at).cast(pa.binary())
+            scores = pa.array([packer.score(memoryview(x.as_buffer()) if x.is_valid else b"") for x in raw], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), scores], names=[*names, "quality_score"])
 
-    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = StructType([*(docs.schema[c] for c in names), StructField("quality_score", DoubleType())])
+    return sent.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP) -> DataFrame:

@@ -24,7 +24,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = compression_quality.train(docs, labels.where(fold(5) != 0))
-    scored = compression_quality.score(docs, model)
+    scored = compression_quality.score(docs, model, ["doc_id"])
     score = F.col("quality_score")
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), score.alias("score"), (score >= compression_quality.KEEP).cast("int").alias("predicted"))
 

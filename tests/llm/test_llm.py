@@ -100,6 +100,8 @@ def test_quality(spark):
     assert model.score(rows[3][1].encode()) > 0.9 and model.score(rows[70][1].encode()) < 0.1
     out = compression_quality.score(docs(spark, [*rows, (7, None), (8, "")]), model)
     assert out.count() == 122 and out.where("quality_score between 0 and 1").count() == 122
+    bare = compression_quality.score(docs(spark, [*rows, (7, None)]), model, ["doc_id"])
+    assert bare.columns == ["doc_id", "quality_score"] and {(r.doc_id, r.quality_score) for r in bare.collect()} <= {(r.doc_id, r.quality_score) for r in out.collect()}
     none = compression_quality.train(docs(spark, []), labels.limit(0))
     assert none.score(b"") == pytest.approx(0.5)
 
