@@ -5,8 +5,9 @@ characters. A character's probability mixes all context lengths: each adds STREN
 probability to its counts. A URL's score is log P(rejected) - log P(accepted) over its length; the threshold is the one with the best balanced
 accuracy on the training URLs held out from the counts. Rules on host and path come before the models.
 
-Counts live in a table of 2**CELLS cells addressed by hash, whatever the size of the corpus: it is collected and folded
-into the plan as a constant. Every URL is counted.
+Counts are exact: one row for each distinct string of DEPTH characters, so the table grows with the corpus and stays
+distributed. A character's ratio depends on its string alone; it is worked out once a string and joined to every URL's positions.
+The models read the whole URL, and every URL is counted.
 
 Where the training URLs come from: those whose host has a word of `reject_terms` are rejected, those that no rule blocks and
 no term marks are accepted. Blocked sites are policy rather than a way of writing, so they teach neither model.
@@ -20,9 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, long_array, stage
+from .common import stage, unstage
 
-DEPTH, STRENGTH, ALPHABET, CELLS = 5, 4.0, 64.0, 16
+DEPTH, STRENGTH, ALPHABET = 5, 4.0, 64.0
 PAD, BINS, WIDTH = "\u0002", 400, 0.025
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Words that public block lists use for categories of unwanted hosts.
@@ -50,55 +51,40 @@ def first_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _cell(chars: Column, tag: int) -> Column:
-    return F.xxhash64(chars, F.lit(tag)).bitwiseAND((1 << CELLS) - 1).cast("int")
+def _shape(url: Column, host: Column) -> Column:
+    """What the models read: the whole URL, its host lower-cased, digits alike, with an end mark and room for the first contexts."""
+    at = F.instr(url, "://")
+    whole = F.when(at > 0, F.concat(F.lower(F.substring(url, F.lit(1), at + 2)), host, F.substring(url, at + 3 + F.length(host), F.length(url)))).otherwise(url)
+    return F.concat(F.lit(PAD * (DEPTH - 1)), F.regexp_replace(F.coalesce(whole, F.lit("")), "[0-9]", "0"), F.lit("\u0003"))
 
 
-def _shape(host: Column, path: Column) -> Column:
-    """What the models read: host and path, digits alike, with an end mark and room for the first contexts."""
-    return F.concat(F.lit(PAD * (DEPTH - 1)), F.regexp_replace(F.concat(host, path), "[0-9]", "0"), F.lit("\u0003"))
+def _grams(shape: Column) -> Column:
+    """For every character its string: the DEPTH - 1 characters before it, and itself."""
+    return F.transform(F.sequence(F.lit(1), F.length(shape) - DEPTH + 1), lambda i: F.substring(shape, i, F.lit(DEPTH)))
 
 
-def _positions(text: Column) -> Column:
-    return F.sequence(F.lit(DEPTH), F.length(text))
+def _ratios(grams: DataFrame) -> DataFrame:
+    """gram and ratio, log P(rejected) - log P(accepted) of its last character in billionths: a sum of longs has no order.
 
-
-def _cells_at(text: Column, i: Column) -> list[Column]:
-    """For each depth the cell of the context with its next character, then the cell of the context."""
-    out = []
+    grams has the training counts good and bad of each string; those of the shorter contexts are their sums.
+    """
+    totals = grams.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    out = grams.select("gram", F.col("good").alias(f"pair_good{DEPTH - 1}"), F.col("bad").alias(f"pair_bad{DEPTH - 1}"))
+    out = out.withColumns({"whole_good0": F.lit(totals.good), "whole_bad0": F.lit(totals.bad)})
     for k in range(DEPTH):
-        out += [_cell(F.substring(text, i - k, F.lit(k + 1)), 1), _cell(F.substring(text, i - k, F.lit(k)), 2)]
-    return out
-
-
-def _model(training: DataFrame) -> Column:
-    """Counts of both classes in a cell, accepted above and rejected below 32 bits; counts stop at 2**31 - 1."""
-    cells = F.flatten(F.transform(_positions(F.col("shape")), lambda i: F.array(*_cells_at(F.col("shape"), i))))
-    counts = (
-        training.select("rejected", F.explode(cells).alias("cell")).groupBy("cell")
-        .agg(F.sum(F.col("rejected").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).collect()
-    )
-    most = 2**31 - 1
-    table = {r.cell: (min(r.n - r.bad, most) << 32) | min(r.bad, most) for r in counts}
-    return long_array(table.get(i, 0) for i in range(1 << CELLS))
+        for name, length in (("pair", k + 1), ("whole", k)):
+            if 0 < length < DEPTH:
+                key = F.substring("gram", DEPTH - k, length)
+                sums = grams.groupBy(key.alias("key")).agg(F.sum("good").alias(f"{name}_good{k}"), F.sum("bad").alias(f"{name}_bad{k}"))
+                out = out.withColumn("key", key).join(sums, "key").drop("key")
 
+    def probability(kind: str) -> Column:
+        p = F.lit(1.0 / ALPHABET)
+        for k in range(DEPTH):
+            p = (F.col(f"pair_{kind}{k}") + p * STRENGTH) / (F.col(f"whole_{kind}{k}") + STRENGTH)
+        return p
 
-def _score(shape: Column, model: Column) -> Column:
-    """Mean over the characters of log P(rejected) - log P(accepted)."""
-    def step(total: Column, i: Column) -> Column:
-        found = F.array(*[F.get(model, c) for c in _cells_at(shape, i)])
-
-        def ratio(held: Column) -> Column:
-            good = bad = F.lit(1.0 / ALPHABET)
-            for k in range(DEPTH):
-                pair, whole = F.get(held, 2 * k), F.get(held, 2 * k + 1)
-                good = (F.shiftright(pair, 32) + good * STRENGTH) / (F.shiftright(whole, 32) + STRENGTH)
-                bad = (pair.bitwiseAND(2**31 - 1) + bad * STRENGTH) / (whole.bitwiseAND(2**31 - 1) + STRENGTH)
-            return F.ln(bad) - F.ln(good)
-
-        return total + let(found, ratio)
-
-    return F.aggregate(_positions(shape), F.lit(0.0), step) / F.size(_positions(shape))
+    return out.select("gram", F.round((F.ln(probability("bad")) - F.ln(probability("good"))) * 1e9).cast("long").alias("ratio"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, reject_terms: Sequence[str] = tuple(REJECT_TERMS)) -> DataFrame:
@@ -113,16 +99,30 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, reje
     judged = split.withColumn("fit", first_rule(F.col("host"), F.col("path"), rules))
     terms = "|".join(reject_terms)
     marked = F.col("host").rlike(rf"(^|[.\-])({terms})($|[.\-])") if terms else F.lit(False)
-    training = stage(
-        judged.where((F.col("host") != "") & (marked | F.coalesce(F.col("fit.verdict") != "block", F.lit(True))))
-        .select(_shape(F.col("host"), F.col("path")).alias("shape"), marked.alias("rejected"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held_out")),
+    teaches = (F.col("host") != "") & (marked | F.coalesce(F.col("fit.verdict") != "block", F.lit(True)))
+    urls = stage(
+        judged.select(
+            F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", "fit", _shape(F.col("url"), F.col("host")).alias("shape"),
+            F.when(teaches, marked).alias("rejected"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held_out"),
+        ),
         "urls",
     )
-    model = _model(training.where("not held_out"))
-    bins = F.floor(F.least(F.greatest(_score(F.col("shape"), model) / WIDTH, F.lit(-BINS // 2)), F.lit(BINS // 2 - 1))).cast("int")
-    seen = {r.bin: (r.bad, r.n - r.bad) for r in training.where("held_out").groupBy(bins.alias("bin")).agg(F.sum(F.col("rejected").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).collect()}
+    teaching = F.col("rejected").isNotNull() & ~F.col("held_out")
+    each = urls.select((teaching & ~F.col("rejected")).cast("long").alias("good"), (teaching & F.col("rejected")).cast("long").alias("bad"), F.explode(_grams(F.col("shape"))).alias("gram"))
+    grams = stage(each.groupBy("gram").agg(F.sum(F.coalesce("good", F.lit(0))).alias("good"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")), "grams")
+    ratios = stage(_ratios(grams), "ratios")
+    unstage(grams)
+    sums = (
+        urls.select("row", F.explode(_grams(F.col("shape"))).alias("gram")).join(ratios, "gram")
+        .groupBy("row").agg((F.sum("ratio") / F.count(F.lit(1)) / 1e9).alias("score"))
+    )
+    scored = stage(urls.drop("shape").join(sums, "row"), "scores")
+    unstage(ratios)
+    unstage(urls)
+    bins = F.floor(F.least(F.greatest(F.col("score") / WIDTH, F.lit(-BINS // 2)), F.lit(BINS // 2 - 1))).cast("int")
+    held = scored.where("held_out and rejected is not null").groupBy(bins.alias("bin"))
+    seen = {r.bin: (r.bad, r.n - r.bad) for r in held.agg(F.sum(F.col("rejected").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).collect()}
     threshold = _threshold(seen)
-    scored = judged.withColumn("score", _score(_shape(F.col("host"), F.col("path")), model))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") > threshold, "block").otherwise("allow"))
     return scored.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score",

@@ -168,6 +168,39 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def url_scores(urls, depth=5):
+    """Exact scores by counting in dictionaries; urls: (url, True if rejected, None if it teaches nothing)."""
+    shape = {u: "\u0002" * (depth - 1) + re.sub("[0-9]", "0", u) + "\u0003" for u, _ in urls}
+    counts = {True: Counter(), False: Counter()}
+    for u, rejected in urls:
+        if rejected is not None:
+            for i in range(depth - 1, len(shape[u])):
+                for k in range(depth):
+                    counts[rejected].update([("pair", shape[u][i - k : i + 1]), ("whole", shape[u][i - k : i])])
+
+    def log_p(held, x, i):
+        p = 1 / 64
+        for k in range(depth):
+            p = (held["pair", x[i - k : i + 1]] + 4 * p) / (held["whole", x[i - k : i]] + 4)
+        return np.log(p)
+
+    return {u: np.mean([log_p(counts[True], x, i) - log_p(counts[False], x, i) for i in range(depth - 1, len(x))]) for u, x in shape.items()}
+
+
+def test_urls_exact_counts(spark):
+    """A corpus with far more distinct contexts than a hashed table of 65,536 cells holds apart; the query string counts."""
+    rng = np.random.default_rng(3)
+    names = ["".join(map(chr, rng.integers(97, 123, 40))) for _ in range(1500)]
+    urls = [f"http://{'casino.' if i % 3 == 0 else ''}{x[:24]}.org/{x[24:]}?ref={'win' if i % 3 == 0 else 'home'}" for i, x in enumerate(names)]
+    urls += ["http://same.org/p?ref=win", "http://same.org/p?ref=home", "http://same.org/p#home"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    held = {r.page_id for r in frame.where(F.pmod(F.xxhash64("url"), F.lit(5)) == 0).collect()}
+    want = url_scores([(u, None if i in held else "casino." in u) for i, u in enumerate(urls)])
+    got = {r.page_id: r.score for r in url_filter.filter_urls(frame).collect()}
+    assert [got[i] for i in range(len(urls))] == pytest.approx([want[u] for u in urls], abs=1e-6)
+    assert got[1500] > got[1501]
+
+
 def test_mixing(spark):
     rows = [(i, "w " * 10, "en", "big") for i in range(900)] + [(1000 + i, "w " * 10, "en", "small") for i in range(100)] + [(5000, None, "en", None), (5001, "", "en", "empty")]
     out = mixing.mix(docs(spark, rows)).toPandas()
