@@ -4,7 +4,8 @@ Tokens are maximal runs of letters and digits, lower-cased, as 64-bit hashes. A
 window of a text gives the hash of its tokens at the mask's ones, so that tokens at its zeros may differ. Windows
 of benchmark items and of texts that agree under a mask are joined; around each hit, item and text are laid
 side by side and the best stretch of WINDOW tokens is counted. A text is contaminated by an item if
-some stretch of min(WINDOW, item length) item tokens agrees in at least percent of its places.
+some stretch of min(WINDOW, item length) item tokens agrees in at least percent of its places. The masks depend on
+the length of the stretch: however the substitutions that percent allows lie, some window of some mask has none.
 
 Two tables of bits, sized from the benchmark and never above 2**MAX_BITS, let nearly all texts go before anything is
 shuffled; if they fill up, more texts pass, and the join decides all the same.
@@ -19,14 +20,25 @@ from pyspark.sql import functions as F
 
 from .common import let, long_array, stage, text_or_empty
 
-#: Masks begin with two ones: the first table of bits holds pairs of neighbours. Each leaves out some
-#: residue for each period from 4 to 10, so evenly spread substitutions can't hit every window.
-MASKS = ("110101101", "1100110011", "1101101101")
-SPAN = max(map(len, MASKS))
+#: Masks by length of the stretch, for 80 % of at most 20 tokens; enumerated for every length in tests/llm. They begin
+#: with two ones: the first table of bits holds pairs of neighbours.
+LONG, MIDDLE = ("1101111", "1100010111", "11110111"), ("110111", "11001011", "110100111")
+MASKS = {
+    **{n: ("1" * n,) for n in range(1, 5)}, 5: ("111", "11011"), 6: ("1111", "11011"), 7: ("11111", "110111", "1111011"),
+    **dict.fromkeys((8, 9, 10, 11, 12, 16), MIDDLE), 15: (*MIDDLE, "110100001111"), **dict.fromkeys((13, 14, 17, 18, 19, 20), LONG),
+}
 WINDOW = 20
 MAX_BITS = 24
 
 
+def masks_for(length: int, percent: int = 80, window: int = WINDOW) -> tuple[str, ...]:
+    """Masks that find every stretch of length tokens that agrees in percent of its places; beyond MASKS, the longest run that substitutions can't all break."""
+    if percent >= 80 and window <= WINDOW:
+        return MASKS[length]
+    agree = max(1, -(-length * percent // 100))
+    return ("1" * -(-agree // (length - agree + 1)),)
+
+
 def tokens(text: Column) -> Column:
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -44,9 +56,13 @@ def _pair(t: Column, at: Column) -> Column:
     return F.xxhash64(F.get(t, at), F.get(t, at + 1))
 
 
-def _windows(t: Column, masks: list[str]) -> Column:
-    """Structs of mask number, position and hash of every window."""
-    return F.flatten(F.array(*[F.transform(_starts(t, len(m)), _window(t, k, m)) for k, m in enumerate(masks)]))
+def _windows(t: Column, masks: dict[str, list[int]], window: int) -> Column:
+    """Structs of mask number, position and hash of every window, under the masks for the item's length."""
+    length = F.least(F.size(t), F.lit(window))
+    none = F.array().cast("array<int>")
+    return F.flatten(F.array(*[
+        F.transform(F.when(length.isin(lengths), _starts(t, len(m))).otherwise(none), _window(t, k, m)) for k, (m, lengths) in enumerate(masks.items())
+    ]))
 
 
 def _window(t: Column, number: int, mask: str):
@@ -72,31 +88,33 @@ def _is_set(packed: Column, cell: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int = WINDOW) -> DataFrame:
     """Contaminated documents: doc_id, item_id, matched, compared, item_tokens; one row per document and item.
 
-    matched of compared item tokens agree in the best stretch. Items without tokens match nothing; items
-    shorter than a mask are looked for under an unspaced mask of their own length. Null and empty texts match
+    matched of compared item tokens agree in the best stretch. Items without tokens match nothing. Null and empty texts match
     nothing. Rows that repeat an id count together, null ids as one group. An empty table gives no rows.
     """
     spark = docs.sparkSession
     items = stage(
         benchmark.select(F.col("item_id"), tokens(text_or_empty()).alias("it")).where("size(it) > 0").distinct(), "items"
     )
-    shape = items.agg(F.count(F.lit(1)), F.sum(F.size("it")), F.collect_set(F.when(F.size("it") < SPAN, F.size("it")))).first()
+    shape = items.agg(F.count(F.lit(1)), F.sum(F.size("it")), F.collect_set(F.least(F.size("it"), F.lit(window)))).first()
     if not shape[0]:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched int, compared int, item_tokens int")
-    bits = min(MAX_BITS, max(14, math.ceil(math.log2(32 * shape[1]))))
-    masks = [*MASKS, *("1" * n for n in sorted(shape[2]))]
+    masks: dict[str, list[int]] = {}
+    for length in sorted(shape[2]):
+        for m in masks_for(length, percent, window):
+            masks.setdefault(m, []).append(length)
     single = "1" in masks
-    seeds = stage(items.select("item_id", F.explode(_windows(F.col("it"), masks)).alias("w")).select("item_id", "w.*"), "seeds")
+    seeds = stage(items.select("item_id", F.explode(_windows(F.col("it"), masks, window)).alias("w")).select("item_id", "w.*"), "seeds")
+    bits, wide = (min(MAX_BITS, max(14, math.ceil(math.log2(32 * n)))) for n in (shape[1], max(1, seeds.count())))
     pair_bits = _bits(
         items.select(F.explode(F.transform(_starts(F.col("it"), 2), lambda i: _cell(_pair(F.col("it"), i), bits))).alias("cell")), bits
     )
-    seed_bits = _bits(seeds.select(F.explode(F.array(_cell(F.col("seed"), bits), _cell(F.col("seed"), bits, 1))).alias("cell")), bits)
+    seed_bits = _bits(seeds.select(F.explode(F.array(_cell(F.col("seed"), wide), _cell(F.col("seed"), wide, 1))).alias("cell")), wide)
 
     def starts(t: Column) -> Column:
         return _starts(t, 1) if single else F.filter(_starts(t, 2), lambda i: _is_set(pair_bits, _cell(_pair(t, i), bits)))
 
     def known(w: Column) -> Column:
-        return w.isNotNull() & _is_set(seed_bits, _cell(w["seed"], bits)) & _is_set(seed_bits, _cell(w["seed"], bits, 1))
+        return w.isNotNull() & _is_set(seed_bits, _cell(w["seed"], wide)) & _is_set(seed_bits, _cell(w["seed"], wide, 1))
 
     def seeds_at(t: Column):
         return lambda i: F.filter(

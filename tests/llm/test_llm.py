@@ -2,6 +2,7 @@ import hashlib
 import html
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -80,6 +81,34 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()) == [3, 4, 5, 7, 8]
 
 
+def test_masks_find_every_accepted_pattern():
+    for percent, window in ((80, 20), (90, 20), (60, 10), (80, 25)):
+        for n in range(1, min(window, 20) + 1):
+            windows = [sum(1 << at + i for i, c in enumerate(m) if c == "1") for m in decontaminate.masks_for(n, percent, window) for at in range(n - len(m) + 1)]
+            for changed in combinations(range(n), n - -(-n * percent // 100)):
+                hit = sum(1 << i for i in changed)
+                assert any(w & hit == 0 for w in windows), (percent, n, changed)
+
+
+def test_decontamination_of_short_items(spark):
+    rng = np.random.default_rng(4)
+    items, rows, want = [], [], set()
+    for n in range(1, 25):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        allowed = min(n, 20) // 5
+        patterns = list(combinations(range(n), allowed))
+        for far in (0, 1):
+            for at in patterns if len(patterns) <= 70 else rng.permutation(patterns)[:70]:
+                gone = {*map(int, at)} | ({next(k for k in range(n) if k not in at)} if far else set())
+                rows.append((len(rows), " ".join(["before", *("x" if k in gone else w for k, w in enumerate(words)), "after"])))
+                agree = [k not in gone for k in range(n)]
+                if any(5 * sum(agree[i : i + 20]) >= 4 * min(n, 20) for i in range(max(1, n - 19))):
+                    want.add((rows[-1][0], n))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()} == want
+
+
 def test_fingerprints(spark):
     rows = [(5, "Straße  ﬁne"), (3, "STRASSE fine\n"), (9, None), (1, "é" * 7), (2, "é" * 7)]
     got = {r.doc_id: r for r in fingerprints.neighbours(docs(spark, rows)).collect()}
