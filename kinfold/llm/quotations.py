@@ -1,18 +1,24 @@
 """Quotation linking: conversations ordered by reply, without the quotes, in DataFrame expressions only.
 
 A line that begins with > marks is a quotation whose level is the number of marks. Lines are normalised (lower case, white
-space runs to one space, trimmed); runs of lines of one level are passages. Lines and passages are hashed and joined to the first message
-of the same conversation that wrote them itself. A message replies to the message that most of its passages of the lowest level come from,
+space runs to one space, trimmed); runs of lines of one level are passages. Lines and passages are joined to the first message of the same
+conversation that wrote them itself: as a line or the whole message or, where there is none such before, as whole words anywhere in its own
+text. Runs of up to SPAN words are compared by their hashes; a longer one is looked up by one run of SPAN words of it, and the whole is then compared as text.
+A table of bits lets the runs that nobody quotes go before anything is shuffled. A message replies to the message that most of its passages of the lowest level come from,
 the latest of equals.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, stage, text_or_empty, unstage
+from .decontaminate import MAX_BITS, _bits, _cell, _is_set
 
+SPAN = 6
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 SAID = r"(?i)^\s*(on\b.*\bwrote|.{0,200}\bwrote|.{0,200}\bwrites):\s*$"
 
@@ -58,6 +64,43 @@ def _passages(lines: Column) -> Column:
     return let(begins, runs)
 
 
+def _runs_of(said: Column, n: int) -> Column:
+    """Hashes of all runs of n words of a normalised text."""
+    def hashes(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
+        return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.split(said, " "), hashes)
+
+
+def _contained(quoted: DataFrame, messages: DataFrame) -> DataFrame:
+    """conv_id, passage and within, the first turn whose own text holds the passage as whole words."""
+    units = quoted.select("conv_id", "passage", "said").dropDuplicates(["conv_id", "passage"])
+    units = units.withColumn("n", F.size(F.split("said", " ")))
+    seed = F.coalesce(*[F.when(F.least("n", F.lit(SPAN)) == n, F.array_min(_runs_of(F.col("said"), n))) for n in range(1, SPAN + 1)])
+    units = stage(units.withColumn("seed", F.xxhash64("conv_id", seed)), "passages")
+    size = units.agg(F.count(F.lit(1)), F.collect_set(F.least("n", F.lit(SPAN)))).first()
+    bits = min(MAX_BITS, max(14, math.ceil(math.log2(32 * max(1, size[0])))))
+    wanted = _bits(units.select(F.explode(F.array(_cell(F.col("seed"), bits), _cell(F.col("seed"), bits, 1))).alias("cell")), bits)
+
+    def known(h: Column) -> Column:
+        return _is_set(wanted, _cell(h, bits)) & _is_set(wanted, _cell(h, bits, 1))
+
+    runs = [F.filter(F.transform(_runs_of(F.col("own"), n), lambda h: F.xxhash64("conv_id", h)), known) for n in sorted(size[1])]
+    held = messages.select("conv_id", "turn", F.xxhash64("own").alias("whole"), F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *runs))).alias("seed"))
+    met = (
+        held.join(units.select("conv_id", "seed", "passage", "n"), ["conv_id", "seed"])
+        .groupBy("conv_id", "passage", "n", "whole").agg(F.min("turn").alias("turn"))
+    )
+    texts = messages.select("conv_id", "turn", "own", F.xxhash64("own").alias("whole")).dropDuplicates(["conv_id", "turn", "whole"])
+    long = (
+        met.where(F.col("n") > SPAN).join(units.select("conv_id", "passage", "said"), ["conv_id", "passage"]).join(texts, ["conv_id", "turn", "whole"])
+        .where(F.instr(F.concat(F.lit(" "), "own", F.lit(" ")), F.concat(F.lit(" "), "said", F.lit(" "))) > 0)
+    )
+    found = met.where(F.col("n") <= SPAN).select("conv_id", "passage", "turn").unionByName(long.select("conv_id", "passage", "turn"))
+    return found.groupBy("conv_id", "passage").agg(F.min("turn").alias("within"))
+
+
 def link_quotations(conversations: DataFrame) -> DataFrame:
     """One row per row of conversations: conv_id, turn, role, text, n_quoted, reply_to, thread_root, depth.
 
@@ -74,22 +117,30 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     quoted = (
         quoting.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(single, _passages(F.col("lines"))))).alias("q"))
         .select("conv_id", "turn", F.col("q.level").alias("level"), normal(F.col("q.said")).alias("said")).where("said <> ''")
-        .select("conv_id", "turn", "level", F.xxhash64("said").alias("passage")).distinct()
+        .select("conv_id", "turn", "level", F.xxhash64("said").alias("passage"), "said").dropDuplicates(["conv_id", "turn", "level", "passage"])
     )
     quoted = stage(quoted, "quoted")
     own = _own(F.col("lines"))
-    written = (
+    messages = stage(
         parsed.where("conv_id is not null and turn is not null").join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
-        .select("conv_id", "turn", F.explode(F.concat(own, F.array(F.concat_ws(" ", own)))).alias("said"))
-        .select("conv_id", "turn", normal(F.col("said")).alias("said")).where("said <> ''")
+        .select("conv_id", "turn", own.alias("written"), normal(F.concat_ws(" ", own)).alias("own")).where("own <> ''"),
+        "own",
+    )
+    written = (
+        messages.select("conv_id", "turn", F.explode(F.concat(F.transform("written", normal), F.array("own"))).alias("said")).where("said <> ''")
         .groupBy("conv_id", F.xxhash64("said").alias("passage")).agg(F.min("turn").alias("origin"))
     )
+    sources = (
+        quoted.drop("said").join(written, ["conv_id", "passage"], "left").join(_contained(quoted, messages), ["conv_id", "passage"], "left")
+        .withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")).otherwise(F.col("within")))
+    )
     votes = (
-        quoted.join(written, ["conv_id", "passage"]).where("origin < turn")
+        sources.where("origin < turn")
         .groupBy("conv_id", "turn", "origin").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
     )
     edges = stage(votes.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "n", "origin")).alias("reply_to")), "replies")
     unstage(quoted)
+    unstage(messages)
     roots = _roots(edges)
     linked = parsed.join(roots, ["conv_id", "turn"], "left")
     text = F.regexp_replace(F.concat_ws("\n", own), r"^\s+|\s+$", "")

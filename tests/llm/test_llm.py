@@ -255,6 +255,22 @@ def test_quotations(spark):
     assert (got[4, 1].reply_to, got[4, 1].text, got[4, 1].n_quoted) == (0, "Long", 40_002)
 
 
+def test_quotations_inside_a_message(spark):
+    long = "alpha beta gamma\ndelta epsilon zeta eta\ntheta iota kappa lambda mu\nnu xi"
+    rows = [
+        (1, 0, "We met on Monday. The budget was cut by half. Nobody objected."), (1, 1, "> The budget was cut by half.\nWhy?"), (1, 2, "> > budget was cut\n> why?\nBecause."),
+        (2, 0, long), (2, 1, "> delta epsilon\n> zeta eta theta iota kappa\n> lambda mu\nYes"), (2, 2, "> delta epsilon zeta eta CHANGED iota kappa lambda mu\nNo"),
+        (3, 0, "An opening paragraph that nobody quotes.\n\nThe second one is about rivers and\nhills and the weather of a late spring."),
+        (3, 1, "> The second one is\n> about rivers and hills and the\n> weather of a late spring.\nNice"), (3, 2, "> carpets and hill\nNo such words"), (3, 3, "> hill\nNor this one"),
+        (4, 0, "so, I agree. But not with all"), (4, 1, "I agree."), (4, 2, "> I agree.\nTo the line, not to the words inside another"), (4, 3, "> with all\nI agree."),
+        (5, 0, "An answer that comes first"), (5, 1, "> that comes first and more\nNo"), (6, 0, "> that comes first\nAnother conversation"),
+    ]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.reply_to for r in quotations.link_quotations(frame).collect()}
+    want = {(1, 1): 0, (1, 2): 1, (2, 1): 0, (3, 1): 0, (4, 2): 1, (4, 3): 0}
+    assert got == {(c, t): want.get((c, t)) for c, t, _ in rows}
+
+
 def test_pages_against_their_markup():
     import pyarrow.parquet as pq
 
