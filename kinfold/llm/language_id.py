@@ -3,7 +3,9 @@
 Each language has probabilities for the pieces of a fixed public vocabulary. A word's probability is the sum over
 all ways to cut it into pieces, by the forward algorithm; a text's is the product over its words. Probabilities
 are estimated by expectation-maximisation over the words of a sample of at most about PER_LANGUAGE training
-texts a language; predictions use whole texts. Words are lower-cased runs of letters; those over LONGEST characters are cut there.
+texts a language; predictions use whole texts. A score is the language's share among all learned ones, times how
+certain the text is to be in a learned language at all: by how much its mean log probability per character exceeds that of
+a background model of single letters, in parts of what the language's own training words reach. Words are lower-cased runs of letters; those over LONGEST characters are cut there.
 """
 
 from __future__ import annotations
@@ -17,12 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import stage, unstage
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-PER_LANGUAGE, LANGUAGES, ROUNDS = 1000, 200, 3
-LONGEST, PIECE, CACHE = 48, 16, 600_000
+PER_LANGUAGE, ROUNDS = 1000, 3
+LONGEST, PIECE, CACHE, CELLS = 48, 16, 600_000, 12_000_000
 MARK = "▁"
 #: Every character stands for a factor of e**SCALE, so that long words don't underflow.
 SCALE, UNKNOWN = 3.0, 1e-7
+#: A text counts as known if it gains more than FLOOR of its language's usual gain over the background.
+FLOOR, STEEP, LEAST_GAIN = 0.45, 20.0, 0.05
+#: The background holds no letter for rarer than RARE, so that a script nobody learned gains nothing from its vocabulary pieces.
+END, RARE = "", 1 / 32
 LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
@@ -66,7 +74,7 @@ class Lattice:
     """Piece ids of all substrings of words of one length; id 0 is no piece, 1 an unknown character."""
 
     def __init__(self, index: Pieces, group: list[str]) -> None:
-        self.n, self.edges = len(group[0]) + 1, []
+        self.n, self.edges, self.group = len(group[0]) + 1, [], group
         letters = np.array([MARK + w for w in group], dtype=f"<U{self.n}").view(np.uint32).reshape(len(group), self.n).T.astype(np.uint64)
         for i in range(self.n):
             hashes = np.zeros(len(group), dtype=np.uint64)
@@ -92,6 +100,12 @@ class Lattice:
             np.add.at(into, ids, alpha[i] * table[ids] * beta[j])
 
 
+def apart(found: list[str], letters: dict[str, float]) -> np.ndarray:
+    """Log probability of each word under the background model."""
+    rare = float(np.log(RARE))
+    return np.array([sum(letters.get(x, rare) for x in w) + letters.get(END, rare) for w in found])
+
+
 def _by_length(found: list[str], most: int = 20_000):
     groups: dict[int, list[str]] = {}
     for w in found:
@@ -106,28 +120,38 @@ def _scaled(probability: np.ndarray, pieces: list[str]) -> np.ndarray:
     return probability * np.exp(SCALE * lengths)[:, None]
 
 
+def background(letters: dict[str, int]) -> dict[str, float]:
+    """Log probabilities of letters, END for the end of a word; letters that aren't there have RARE."""
+    total = max(1, sum(letters.values()))
+    return {x: float(np.log(max(n / total, RARE))) for x, n in letters.items()}
+
+
 class Model:
-    def __init__(self, languages: list[str], pieces: list[str], probability: np.ndarray) -> None:
-        self.languages, self.pieces, self.probability = languages, pieces, probability
+    """Without letters and gains every text counts as one in a learned language."""
+
+    def __init__(self, languages: list[str], pieces: list[str], probability: np.ndarray, letters: dict[str, float] | None = None, gains: np.ndarray | None = None) -> None:
+        self.languages, self.pieces, self.probability, self.letters, self.gains = languages, pieces, probability, letters, gains
         self.index = Pieces(pieces)
         self.table = _scaled(probability, pieces)
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.logs = np.zeros((1024, len(self.languages)))
+        self.logs = np.zeros((1024, len(self.languages) + 2))
 
     def learn(self, found: set[str]) -> None:
-        """Give new words a row of log probabilities."""
-        if len(self.rows) > CACHE:
+        """Give new words a row: log probabilities by language, by the background, and the length with the end."""
+        if len(self.rows) > min(CACHE, CELLS // (len(self.languages) + 2)):
             self.clear()
         new = [w for w in found if w not in self.rows]
         if len(self.rows) + len(new) > len(self.logs):
-            self.logs = np.concatenate([self.logs, np.zeros((len(self.logs) + len(new), len(self.languages)))])
-        for group in _by_length(new):
+            self.logs = np.concatenate([self.logs, np.zeros((len(self.logs) + len(new), self.logs.shape[1]))])
+        for group in _by_length(new, max(100, min(20_000, CELLS // 100 // max(1, len(self.languages))))):
             lattice = Lattice(self.index, group)
             at = len(self.rows)
-            self.logs[at : at + len(group)] = np.log(np.maximum(lattice.forward(self.table)[lattice.n], 1e-300)) - SCALE * lattice.n
+            self.logs[at : at + len(group), :-2] = np.log(np.maximum(lattice.forward(self.table)[lattice.n], 1e-300)) - SCALE * lattice.n
+            self.logs[at : at + len(group), -2] = apart(group, self.letters or {})
+            self.logs[at : at + len(group), -1] = lattice.n
             self.rows.update(zip(group, range(at, at + len(group)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -140,15 +164,19 @@ class Model:
     def _decide(self, bag: list[str]) -> tuple[str, float]:
         if not bag or not self.languages:
             return "und", 0.0
-        total = self.logs[list(map(self.rows.__getitem__, bag))].sum(axis=0)
+        *total, apart, size = self.logs[list(map(self.rows.__getitem__, bag))].sum(axis=0)
+        total = np.array(total)
         share = np.exp(np.maximum(total - total.max(), -700.0))
         share /= share.sum()
         best = int(share.argmax())
-        return self.languages[best], float(share[best])
+        if self.gains is None:
+            return self.languages[best], float(share[best])
+        gain = (total[best] - apart) / size / self.gains[best]
+        return self.languages[best], float(share[best] / (1 + np.exp(min(STEEP * (FLOOR - gain), 700.0))))
 
 
-def fit(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
-    """Expectation-maximisation from (language, word, count) rows; languages in sorted order."""
+def fit(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS, letters: dict[str, float] | None = None) -> Model:
+    """Expectation-maximisation from (language, word, count) rows; languages in sorted order, each learned from its own rows alone."""
     languages = sorted({r[0] for r in counts})
     column = {x: k for k, x in enumerate(languages)}
     weights: dict[str, np.ndarray] = {}
@@ -168,7 +196,14 @@ def fit(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROU
         probability = total / np.maximum(total.sum(axis=0), 1e-300) * (1 - UNKNOWN)
         probability[1] = UNKNOWN
         model = Model(languages, pieces, probability)
-    return model
+    if letters is None:
+        return model
+    gained, size = np.zeros(len(languages)), np.zeros(len(languages))
+    for lattice, weight in lattices:
+        logs = np.log(np.maximum(lattice.forward(model.table)[lattice.n], 1e-300)) - SCALE * lattice.n
+        gained += (weight * (logs - apart(lattice.group, letters)[:, None])).sum(axis=0)
+        size += weight.sum(axis=0) * lattice.n
+    return Model(languages, pieces, model.probability, letters, np.maximum(gained / np.maximum(size, 1), LEAST_GAIN))
 
 
 def _count(batches):
@@ -183,29 +218,48 @@ def _count(batches):
         )
 
 
+def _letters(batches):
+    for batch in batches:
+        totals: Counter = Counter()
+        for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            totals[END] += n
+            for x in w:
+                totals[x] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["letter", "n"])
+
+
 def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from the rows of docs with text and lang: about per_language of each language, chosen by a hash of the text.
+    """Learn the 200 most frequent values of lang, from about per_language rows of each, chosen by a hash of the text.
 
-    Only the LANGUAGES most frequent languages are learned. Rows with a null text or lang teach nothing.
+    Each language is learned in a task of its own. Rows with a null text or lang teach nothing.
     """
     usable = docs.where("text is not null and lang is not null").select("lang", "text")
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).select("lang", (F.lit(float(per_language)) / F.col("n")).alias("share"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, per_language / r.n).otherwise(share)
-    sample = usable.where(place < share)
-    counts = sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    rows = sorted(zip(*(counts.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True))
-    return fit(rows, vocabulary(path))
+    sample = usable.join(F.broadcast(sizes), "lang").where(place < F.col("share")).select("lang", "text")
+    counts = stage(sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    letters = background({r.letter: r.n for r in counts.mapInArrow(_letters, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n")).orderBy("letter").collect()})
+    pieces = vocabulary(path)
+
+    def learn(part: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(part.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True))
+        model = fit(rows, pieces, letters=letters)
+        return pa.table({"lang": pa.array(model.languages, pa.string()), "gain": pa.array(model.gains, pa.float64()), "probability": pa.array([model.probability[:, 0]], pa.list_(pa.float64()))})
+
+    learned = counts.groupBy("lang").applyInArrow(learn, "lang string, gain double, probability array<double>").toArrow().sort_by("lang")
+    unstage(counts)
+    probability = np.zeros((len(pieces) + 2, learned.num_rows))
+    for k, row in enumerate(learned.column("probability")):
+        probability[:, k] = row.values.to_numpy()
+    return Model(learned.column("lang").to_pylist(), pieces, probability, letters, np.array(learned.column("gain").to_pylist()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with lang_pred and lang_score, the posterior share of that language.
+    """All columns of docs with lang_pred and lang_score: the share of that language, lowered for texts that don't look like it.
 
     A text that is null or has no letter is `und` with score 0.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probability))
+    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probability, model.letters, model.gains))
 
     def run(batches):
         found = Model(*held.value)

@@ -155,6 +155,23 @@ def test_language(spark):
     assert (got[1], got[2], got[3], got[4], got[6]) == ("en", "de", "und", "und", "und") and got[5] in ("de", "en")
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    import pyarrow.parquet as pq
+
+    held = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
+    held = [(x["text"], x["lang"]) for x in held if x["text"] and len(x["text"]) > 300]
+    learned = [x for x in held[::2] if x[1] != "de"]
+    model = language_id.train(docs(spark, [(i, text, lang, "s") for i, (text, lang) in enumerate(learned)]))
+    rng = np.random.default_rng(5)
+    own = [t for t, lang in held[1::2] if lang in model.languages]
+    parts = {lang: next(t for t, x in held[1::2] if x == lang)[:300] for lang in ("en", "fr", "es")}
+    none = [t for t, lang in held if lang == "de"] + [" ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n)) for n in (5, 50, 500)]
+    none += ["слово о полку " * 20, f"{parts['en']} {parts['fr']}", f"{parts['es']} {parts['en']}"]
+    rows = [(i, x) for i, x in enumerate([*own, *none])]
+    kept = {r.doc_id for r in language_id.predict(docs(spark, rows), model).where("lang_score >= 0.65").collect()}
+    assert len([i for i in kept if i < len(own)]) >= 0.97 * len(own) and not [i for i in kept if i >= len(own)]
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 300
     rows = [(1, "http://a/", big), (2, "http://b/", big), (3, None, None), (4, "http://c/ x", "small"), (5, "http://d/", "small"), (2, "http://b/", big)]
