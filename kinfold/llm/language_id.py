@@ -229,12 +229,12 @@ def _letters(batches):
 
 
 def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = PER_LANGUAGE) -> Model:
-    """Learn the 200 most frequent values of lang, from about per_language rows of each, chosen by a hash of the text.
+    """Learn every lang of docs, from about per_language rows of each, chosen by a hash of the text.
 
     Each language is learned in a task of its own. Rows with a null text or lang teach nothing.
     """
     usable = docs.where("text is not null and lang is not null").select("lang", "text")
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).select("lang", (F.lit(float(per_language)) / F.col("n")).alias("share"))
+    sizes = usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
     sample = usable.join(F.broadcast(sizes), "lang").where(place < F.col("share")).select("lang", "text")
     counts = stage(sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")

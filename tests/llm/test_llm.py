@@ -172,6 +172,16 @@ def test_language_rejects_what_was_not_learned(spark):
     assert len([i for i in kept if i < len(own)]) >= 0.97 * len(own) and not [i for i in kept if i >= len(own)]
 
 
+def test_language_learns_every_language(spark):
+    rng = np.random.default_rng(6)
+    words = {k: ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(6)] for k in range(230)}
+    rows = [(i, " ".join(words[k]), f"x{k:03}", "s") for i, k in enumerate([*range(230), *range(225)])]
+    model = language_id.train(docs(spark, rows))
+    assert model.languages == [f"x{k:03}" for k in range(230)]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs(spark, rows), model).collect()}
+    assert all(got[i] == rows[i][2] for i in range(len(rows)))
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 300
     rows = [(1, "http://a/", big), (2, "http://b/", big), (3, None, None), (4, "http://c/ x", "small"), (5, "http://d/", "small"), (2, "http://b/", big)]
