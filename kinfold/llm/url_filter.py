@@ -2,29 +2,35 @@
 
 One model counts the characters of accepted URLs, the other those of rejected ones, in contexts of 0 to DEPTH - 1
 characters. A character's probability mixes all context lengths: each adds STRENGTH times the shorter context's
-probability to its counts. A URL's score is log P(rejected) - log P(accepted) over its length; the threshold is the one with the best balanced
-accuracy on the training URLs held out from the counts. Rules on host and path come before the models.
+probability to its counts. A URL's score is log P(rejected) - log P(accepted) over its length. Rules on host and path come before the models.
 
-Counts are exact: one row for each distinct string of DEPTH characters, so the table grows with the corpus and stays
-distributed. A character's ratio depends on its string alone; it is worked out once a string and joined to every URL's positions.
+No URL is judged by models that saw its own site: hosts fall into FOLDS folds by their hash, counts are kept by fold, and a URL
+is scored with the counts of all other folds. So a label never reaches the verdict of its own site, be it given or missing; what the
+other sites' characters say decides. These scores of labelled URLs also calibrate: a logistic curve, both classes weighing
+the same, turns scores into probabilities, and a URL is blocked from one half on.
+
+Counts are exact: one row for each distinct string of DEPTH characters and fold, so the table grows with the corpus and stays
+distributed. A character's ratio depends on its string and the fold alone; it is worked out once and joined to every URL's positions.
 The models read the whole URL, and every URL is counted.
 
-Where the training URLs come from: those whose host has a word of `reject_terms` are rejected, those that no rule blocks and
-no term marks are accepted. Blocked sites are policy rather than a way of writing, so they teach neither model.
+Where the training URLs come from: a column of labels, if the caller has one. Without one, hosts with a word of `reject_terms` are
+rejected, and other sites that no rule blocks are accepted. Blocked sites are policy rather than a way of writing, so they teach neither model.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stage, unstage
 
-DEPTH, STRENGTH, ALPHABET = 5, 4.0, 64.0
-PAD, BINS, WIDTH = "\u0002", 400, 0.025
+DEPTH, STRENGTH, ALPHABET, FOLDS = 5, 4.0, 64.0, 8
+#: Scores are counted for the curve in bins of WIDTH, within BINS / 2 of them around 0.
+PAD, BINS, WIDTH = "\u0002", 4000, 0.0025
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Words that public block lists use for categories of unwanted hosts.
 REJECT_TERMS = (
@@ -64,38 +70,51 @@ def _grams(shape: Column) -> Column:
 
 
 def _ratios(grams: DataFrame) -> DataFrame:
-    """gram and ratio, log P(rejected) - log P(accepted) of its last character in billionths: a sum of longs has no order.
+    """gram, fold and ratio, log P(rejected) - log P(accepted) of the last character in billionths: a sum of longs has no order.
 
-    grams has the training counts good and bad of each string; those of the shorter contexts are their sums.
+    grams has the training counts good and bad of each string in each fold; the models of a fold count all others.
     """
-    totals = grams.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
-    out = grams.select("gram", F.col("good").alias(f"pair_good{DEPTH - 1}"), F.col("bad").alias(f"pair_bad{DEPTH - 1}"))
-    out = out.withColumns({"whole_good0": F.lit(totals.good), "whole_bad0": F.lit(totals.bad)})
+    def others(key: Column, name: str) -> DataFrame:
+        """Counts of a context outside each fold; a context has FOLDS rows at most."""
+        own = grams.groupBy(key.alias("key"), "fold").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        whole = Window.partitionBy("key")
+        return own.select("key", "fold", *[(F.sum(c).over(whole) - F.col(c)).alias(f"{name}_{c}") for c in ("good", "bad")])
+
+    out = grams.select("gram", "fold")
     for k in range(DEPTH):
         for name, length in (("pair", k + 1), ("whole", k)):
-            if 0 < length < DEPTH:
-                key = F.substring("gram", DEPTH - k, length)
-                sums = grams.groupBy(key.alias("key")).agg(F.sum("good").alias(f"{name}_good{k}"), F.sum("bad").alias(f"{name}_bad{k}"))
-                out = out.withColumn("key", key).join(sums, "key").drop("key")
+            key = F.substring("gram", DEPTH - k, length)
+            out = out.withColumn("key", key).join(others(key, f"{name}{k}"), ["key", "fold"]).drop("key") if length else out.join(F.broadcast(_totals(grams, name)), "fold")
 
     def probability(kind: str) -> Column:
         p = F.lit(1.0 / ALPHABET)
         for k in range(DEPTH):
-            p = (F.col(f"pair_{kind}{k}") + p * STRENGTH) / (F.col(f"whole_{kind}{k}") + STRENGTH)
+            p = (F.col(f"pair{k}_{kind}") + p * STRENGTH) / (F.col(f"whole{k}_{kind}") + STRENGTH)
         return p
 
-    return out.select("gram", F.round((F.ln(probability("bad")) - F.ln(probability("good"))) * 1e9).cast("long").alias("ratio"))
+    return out.select("gram", "fold", F.round((F.ln(probability("bad")) - F.ln(probability("good"))) * 1e9).cast("long").alias("ratio"))
+
+
+def _totals(grams: DataFrame, name: str) -> DataFrame:
+    """How many characters the models of each fold count: FOLDS rows."""
+    own = grams.groupBy("fold").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    whole = Window.partitionBy(F.lit(0))
+    return own.select("fold", *[(F.sum(c).over(whole) - F.col(c)).alias(f"{name}0_{c}") for c in ("good", "bad")])
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, reject_terms: Sequence[str] = tuple(REJECT_TERMS)) -> DataFrame:
+def filter_urls(
+    pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, reject_terms: Sequence[str] = tuple(REJECT_TERMS), rejected: str | None = None
+) -> DataFrame:
     """page_id, host, path, rule, verdict, score, rejected_probability for each row of pages.
 
-    verdict is the rule's where one fits, else block if the score is above the threshold and allow otherwise. A null url or
-    one without '://' has empty host and path and is judged on these. Without rejected or without accepted URLs to
-    learn from the threshold is 0. Repeated rows and null ids pass through; other columns are left out.
+    rejected names a boolean column of pages that tells rejected URLs from accepted ones (null teaches nothing); by default hosts
+    are told by reject_terms. verdict is the rule's where one fits, else block if the probability is at least one half and allow otherwise. A null url or
+    one without '://' has empty host and path, teaches nothing by default and is judged on what it has. Without rejected or without accepted URLs to
+    learn from all probabilities are 0. Repeated rows and null ids pass through; other columns are left out.
     """
     host, path = host_and_path(F.col("url").cast("string"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("url").cast("string").alias("url"))
+    label = F.lit(None).cast("boolean") if rejected is None else F.col(rejected).cast("boolean")
+    split = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("url").cast("string").alias("url"), label.alias("label"))
     judged = split.withColumn("fit", first_rule(F.col("host"), F.col("path"), rules))
     terms = "|".join(reject_terms)
     marked = F.col("host").rlike(rf"(^|[.\-])({terms})($|[.\-])") if terms else F.lit(False)
@@ -103,46 +122,45 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, reje
     urls = stage(
         judged.select(
             F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", "fit", _shape(F.col("url"), F.col("host")).alias("shape"),
-            F.when(teaches, marked).alias("rejected"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held_out"),
+            (F.when(teaches, marked) if rejected is None else F.col("label")).alias("rejected"), F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("fold"),
         ),
         "urls",
     )
-    teaching = F.col("rejected").isNotNull() & ~F.col("held_out")
-    each = urls.select((teaching & ~F.col("rejected")).cast("long").alias("good"), (teaching & F.col("rejected")).cast("long").alias("bad"), F.explode(_grams(F.col("shape"))).alias("gram"))
-    grams = stage(each.groupBy("gram").agg(F.sum(F.coalesce("good", F.lit(0))).alias("good"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")), "grams")
+    each = urls.select(F.explode(_grams(F.col("shape"))).alias("gram"), "fold", (~F.col("rejected")).cast("long").alias("good"), F.col("rejected").cast("long").alias("bad"))
+    grams = stage(each.groupBy("gram", "fold").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("good", "bad")]), "grams")
     ratios = stage(_ratios(grams), "ratios")
-    unstage(grams)
     sums = (
-        urls.select("row", F.explode(_grams(F.col("shape"))).alias("gram")).join(ratios, "gram")
+        urls.select("row", "fold", F.explode(_grams(F.col("shape"))).alias("gram")).join(ratios, ["gram", "fold"])
         .groupBy("row").agg((F.sum("ratio") / F.count(F.lit(1)) / 1e9).alias("score"))
     )
     scored = stage(urls.drop("shape").join(sums, "row"), "scores")
-    unstage(ratios)
-    unstage(urls)
+    unstage(grams, ratios, urls)
     bins = F.floor(F.least(F.greatest(F.col("score") / WIDTH, F.lit(-BINS // 2)), F.lit(BINS // 2 - 1))).cast("int")
-    held = scored.where("held_out and rejected is not null").groupBy(bins.alias("bin"))
-    seen = {r.bin: (r.bad, r.n - r.bad) for r in held.agg(F.sum(F.col("rejected").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).collect()}
-    threshold = _threshold(seen)
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") > threshold, "block").otherwise("allow"))
-    return scored.select(
-        "page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score",
-        (1 / (1 + F.exp((F.lit(threshold) - F.col("score")) * 10))).alias("rejected_probability"),
-    )
+    held = scored.where("rejected is not null").groupBy(bins.alias("bin")).agg(F.sum(F.col("rejected").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n"))
+    slope, middle = _curve([((r.bin + 0.5) * WIDTH, r.bad, r.n - r.bad) for r in held.collect()])
+    probability = F.lit(0.0) if middle is None else 1 / (1 + F.exp((F.lit(middle) - F.col("score")) * F.lit(slope)))
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(probability >= 0.5, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score", probability.alias("rejected_probability"))
+
 
+def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float | None]:
+    """Slope and middle of a logistic curve through (score, rejected, accepted), both classes weighing the same; no middle if one is missing.
 
-def _threshold(seen: dict[int, tuple[int, int]]) -> float:
-    """The bin edge with the best balanced accuracy, the middle of equally good ones; 0 if a class is missing."""
-    bad, good = sum(b for b, _ in seen.values()), sum(g for _, g in seen.values())
-    if not bad or not good:
-        return 0.0
-    below_bad = below_good = 0
-    best, edges = -math.inf, [0]
-    for k in range(-BINS // 2, BINS // 2 + 1):
-        value = (bad - below_bad) / bad + below_good / good
-        if value > best + 1e-12:
-            best, edges = value, [k]
-        elif value > best - 1e-12:
-            edges.append(k)
-        b, g = seen.get(k, (0, 0))
-        below_bad, below_good = below_bad + b, below_good + g
-    return (edges[0] + edges[-1]) / 2 * WIDTH
+    Targets stay off 0 and 1 by what one more URL of either class would tell, so that the curve stays finite for classes that don't overlap.
+    """
+    x, bad, good = np.array(sorted(bins), dtype=float).reshape(-1, 3).T
+    if not bad.sum() or not good.sum():
+        return 1.0, None
+    high, low = (bad.sum() + 1) / (bad.sum() + 2), 1 / (good.sum() + 2)
+    weight = np.concatenate([bad / bad.sum(), good / good.sum()])
+    target = np.concatenate([np.full(len(x), high), np.full(len(x), low)])
+    a = np.column_stack([np.ones(2 * len(x)), np.concatenate([x, x])])
+    w = np.zeros(2)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-9 * np.eye(2), a.T @ (weight * (target - p)))
+        w = w + step * min(1.0, 10 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-9:
+            break
+    slope = max(float(w[1]), 1e-6)
+    return slope, -float(w[0]) / slope
