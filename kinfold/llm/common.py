@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys with more rows than HOT, or than a part in MOST_HOT of all rows, are joined by broadcast: there are at most MOST_HOT of them.
+HOT, MOST_HOT = 1000, 100_000
+
+_staged: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="kinfold-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -24,20 +33,64 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and outlives any executor."""
+    """Write df to the shared folder and read it back: cuts the lineage and outlives any executor.
+
+    What nobody unstages, because a result still reads it, is deleted when the driver ends, or by release_all.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinfold_path = path
+    _staged.add(path)
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files behind a staged table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._kinfold_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files behind staged tables that no later plan reads."""
+    for df in tables:
+        _delete(df.sparkSession.sparkContext, df._kinfold_path)
+
+
+def _delete(context: SparkContext, name: str) -> None:
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _staged.discard(name)
+
+
+def release_all() -> None:
+    """Delete every staged table; results that haven't been read yet are lost."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        for name in sorted(_staged):
+            _delete(context, name)
+
+
+atexit.register(release_all)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hot_limit(total: int) -> int:
+    """Keys with more rows than this are hot; total is the number of rows, so that at most MOST_HOT keys are."""
+    return max(HOT, total // MOST_HOT)
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with facts, one row a key, whose column n counts the rows of the key.
+
+    The few keys that hold many rows are joined by broadcast, so that their rows stay where they are; all others by
+    shuffling, with at most hot_limit(total) rows of a key in a task. Column n doesn't come out. rows is read twice.
+    """
+    limit = hot_limit(total)
+    hot, cold = F.broadcast(facts.where(F.col(n) > limit).drop(n)), facts.where(F.col(n) <= limit).drop(n)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(facts.where(F.col(n) > limit).select(*keys)), keys, "left_anti").join(cold, keys, how))
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -64,8 +117,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: two long columns, any names, read as undirected; nulls and self-loops are ignored.
     Returns (node, label) for every node that has an edge; label is the smallest node of its component.
-    Each round is an aggregation with map-side combining and a join that adaptive execution can
-    split, so that a hub with a large share of the edges doesn't land in one task. The rounds are written
+    Each round is an aggregation with map-side combining and a join that leaves the edges of hubs where they are, so
+    that a hub with a large share of the edges doesn't land in one task. The rounds are written
     to the shared folder. Their number grows with the logarithm of the component size.
     """
     a, b = edges.columns[:2]
@@ -75,17 +128,18 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _edge_mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        met = join_hot(both, least, ["u"], "n", 2 * mark[0])
+        large = stage(met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        root = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_hot(large, root, ["u"], "n", 2 * mark[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(root.select("u", F.col("m").alias("v")))
             .where("u != v").distinct()
         )
         after = stage(small, "edges")
         later = _edge_mark(after)
-        unstage(now)
+        unstage(now, large)
         now = after
         if later == mark:
             break

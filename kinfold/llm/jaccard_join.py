@@ -13,7 +13,7 @@ Bounded work for hot shingles. A shingle with more than LIST nodes in its postin
 member gets one edge to the list's smallest node. Connected components of the candidate edges form clusters;
 clusters are dealt into blocks of up to BLOCK nodes and BLOCK_BYTES bytes, and each pair of blocks of one cluster is compared in one task as a
 blocked matrix product, which decides every pair exactly and returns one row for each node. No row is made for a pair. In clusters of
-more than WHOLE nodes a set travels as its symmetric difference from the set of the cluster's smallest node: for sets A, B and
+more than WHOLE nodes or WHOLE_BYTES bytes of sets a set travels as its symmetric difference from the set of the cluster's smallest node: for sets A, B and
 any R, A ^ B = (A ^ R) ^ (B ^ R), so that intersections follow from the differences, which are short between near copies.
 """
 
@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, stage, unstage
+from .common import components, join_hot, stage, unstage
 from .shingles import many_word_hashes, mix, shingle_set
 
 LIST = 64
-#: Most nodes of a block of whole sets, and of a block to compare, which holds at most about BLOCK_BYTES of differences too.
-WHOLE, BLOCK, BLOCK_BYTES = 256, 2048, 8 << 20
-BITS = 22
+#: Most nodes and bytes, about, of a block of whole sets, and of a block of differences to compare. One set alone may be larger.
+WHOLE, WHOLE_BYTES, BLOCK, BLOCK_BYTES = 256, 16 << 20, 2048, 8 << 20
+#: The bitmap of wanted texts has 2**BITS to 2**MOST_BITS bits, 16 for each if there is room.
+BITS, MOST_BITS = 22, 27
 U = np.uint64
 
 
@@ -70,14 +71,15 @@ def _signatures(k: int, percent: int):
     return run
 
 
-def _full_sets(k: int, wanted):
-    """Sets of the texts whose id falls into a wanted bucket."""
+def _full_sets(k: int, bits: int, wanted):
+    """Sets of the texts whose id falls into one of 2**bits buckets that is wanted."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             known = np.asarray(ids.is_valid())
-            keep = np.flatnonzero(known & wanted.value[_buckets(np.asarray(ids.fill_null(0)).astype(np.int64))])
+            bucket = _buckets(np.asarray(ids.fill_null(0)).astype(np.int64), bits)
+            keep = np.flatnonzero(known & (wanted.value[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool))
             raw = batch.column("text").cast(pa.binary()).take(pa.array(keep)).to_pylist()
             sets = [shingle_set(w, k) for w in many_word_hashes(b"" if x is None else x for x in raw)]
             yield pa.RecordBatch.from_arrays(
@@ -93,14 +95,18 @@ def _full_sets(k: int, wanted):
     return run
 
 
-def _buckets(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(U)) >> U(64 - BITS)).astype(np.int64)
+def _buckets(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(U)) >> U(64 - bits)).astype(np.int64)
 
 
-def _bitmap(batches):
-    for batch in batches:
-        ids = np.asarray(batch.column("node")).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_buckets(ids)))], names=["bucket"])
+def _bitmap(bits: int):
+    def run(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column("node")).astype(np.int64)
+            bucket = np.unique(_buckets(ids, bits))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket >> 6), pa.array(np.left_shift(np.int64(1), bucket & 63))], names=["word", "bit"])
+
+    return run
 
 
 def _differences(key, rows):
@@ -200,8 +206,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     classes = live.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min_by("rid", "doc_id").alias("kept"), F.count(F.lit(1)).alias("copies"))
 
     # Postings: one representative per class, its first shingles, those that other nodes have too.
-    repeated = classes.where("copies > 1").select("f1", "f2", "kept")
-    extra = stage(live.select("rid", "f1", "f2").join(repeated, ["f1", "f2"]).where("rid <> kept").select("rid"), "extra")
+    classes = stage(classes, "classes")
+    size = classes.agg(F.sum("copies"), F.sum(F.when(F.col("copies") > 1, F.col("copies")))).first()
+    n_live, n_copies = size[0] or 0, size[1] or 0
+    repeated = classes.where("copies > 1").select("f1", "f2", "kept", "copies")
+    extra = stage(join_hot(live.select("rid", "f1", "f2"), repeated, ["f1", "f2"], "copies", n_copies).where("rid <> kept").select("rid"), "extra")
     reps = live.join(extra, "rid", "left_anti")
     posted = reps.select("rid", F.explode("toks").alias("t"))
     df = posted.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -233,19 +242,21 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     clusters = stage(components(pairs.unionByName(hubs)).select("node", F.col("label").alias("cluster")), "clusters")
     unstage(prefix)
 
-    # Whole sets of the nodes in clusters; a bitmap of 2**BITS buckets skips nearly all other texts.
-    wanted = np.zeros(1 << BITS, dtype=bool)
-    buckets = clusters.select("node").mapInArrow(_bitmap, "bucket long").distinct().toPandas()["bucket"]
-    wanted[buckets.to_numpy(dtype=np.int64)] = True
-    found = spark.sparkContext.broadcast(wanted)
-    sets = docs.mapInArrow(_full_sets(k, found), "doc_id long, f1 long, n long, shingles binary")
-    size = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / WHOLE).cast("long").alias("blocks"))
-    members = stage(
-        clusters.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .join(classes.select("node", "f1", "copies"), "node")
+    # Whole sets of the nodes in clusters; a bitmap of buckets skips nearly all other texts.
+    bits = min(MOST_BITS, max(BITS, (16 * clusters.count()).bit_length()))
+    words = clusters.select("node").mapInArrow(_bitmap(bits), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    packed = np.zeros(1 << bits - 6, dtype=np.int64)
+    packed[words.column("word").to_numpy()] = words.column("bit").to_numpy()
+    found = spark.sparkContext.broadcast(packed.view(np.uint8))
+    sets = docs.mapInArrow(_full_sets(k, bits, found), "doc_id long, f1 long, n long, shingles binary")
+    held = stage(
+        clusters.join(classes.select("node", "f1", "copies"), "node")
         .join(sets.withColumnRenamed("doc_id", "node"), ["node", "f1"]).dropDuplicates(["node", "f1"]),
         "members",
     )
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / WHOLE, F.sum("n") * 8 / WHOLE_BYTES)).cast("long")
+    size = held.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("nodes"))
+    members = join_hot(held, size, ["cluster"], "nodes", held.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     columns = ["cluster", "blocks", "block", "node", "copies", "n", "f1", "shingles"]
     large = members.where("blocks > 1").select(*columns)
@@ -264,17 +275,18 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     compared = stage(
         small.unionByName(cells).groupBy("cluster", "lo", "hi").applyInArrow(_compare(percent), "node long, mate long, links long"), "links"
     )
-    unstage(members)
-    unstage(differing)
+    unstage(held, differing, clusters)
     joined = components(compared.where("mate is not null").select("node", "mate"))
 
     degree = compared.groupBy("node").agg(F.sum("links").alias("links"))
     named = (
         classes.join(joined, "node", "left").join(degree, "node", "left")
-        .select("f1", "f2", F.coalesce("label", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("class_links"))
+        .select("f1", "f2", "copies", F.coalesce("label", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("class_links"))
     )
     usable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    out = all_sets.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left").select(
+    named = stage(named, "named")
+    unstage(classes, compared)
+    out = join_hot(all_sets.select("doc_id", "n", "f1", "f2"), named, ["f1", "f2"], "copies", n_live, "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(usable, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(usable, F.col("class_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
@@ -283,7 +295,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; every column is kept.
+    """The rows of docs whose doc_id is the smallest of its component; every column is kept, whatever its name.
 
     Rows with an empty text or a null doc_id stay. A row repeated with its doc_id stays as often as it came.
     """
