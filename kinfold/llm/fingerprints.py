@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hex64, let, text_or_empty
+from .common import hex64, let, long_array, text_or_empty
 
-#: Documents in a window of the neighbour search, on average.
-RUN = 4096
+#: Documents in a run of the neighbour search, on average, and the most runs that begin at sampled ids.
+RUN, RUNS = 1024, 50_000
 
 
 def canonical(text: Column) -> Column:
@@ -45,6 +45,25 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def _run_of(doc_id: Column, begins: list[int]) -> Column:
+    """How many of the sorted begins are at most doc_id, by bisection in a constant array; -1 for null."""
+    if not begins:
+        return F.when(doc_id.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    held = long_array(begins)
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        more = (at["low"] < at["high"]) & (F.get(held, middle) <= doc_id)
+        return F.struct(
+            F.when(more, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when((at["low"] < at["high"]) & ~more, middle).otherwise(at["high"]).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(0), F.lit(len(begins).bit_length()))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(begins)).alias("high")), halve)["low"]
+    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(found)
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """Each document with its fingerprint and that of the text edited with the next document's beginning.
 
@@ -53,36 +72,34 @@ def neighbours(docs: DataFrame) -> DataFrame:
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null text is empty; null ids come
     after all others; rows with the same id follow by the hash of their text. A single document is its own next.
 
-    Ids are cut into runs of about RUN documents, so that one shuffle of the texts puts neighbours together and no
-    task sorts more than a few runs; only the last row of each run looks up the first of the next run.
+    Runs of about RUN documents begin at ids that a hash chooses, at most about RUNS of them, so that runs are even however
+    the ids are spread; rows that share an id, or have none, lie in one run. One shuffle of the texts puts neighbours together,
+    and the last row of each run gets the first of the next, found by an aggregation that keeps one row a run before anything is shuffled.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1, -(-(high - low + 1) * RUN // max(1, n))) if low is not None else 1
-    floor = -(-low // width) - 2 if low is not None else 0
-    run = F.coalesce(F.floor(F.col("doc_id") / F.lit(float(width))) if width > 2**53 else F.expr(f"(doc_id - pmod(doc_id, {width}L)) div {width}L"), F.lit(floor).cast("long"))
-    base = docs.select(
-        run.alias("run"), "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("tie"),
-        digest(canonical(F.col("text"))).alias("fingerprint"),
+    low, known, n = docs.agg(F.min("doc_id"), F.count("doc_id"), F.count(F.lit(1))).first()
+    share = max(RUN, -(-known // RUNS))
+    begins = sorted(r[0] for r in docs.select("doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(share)) == 0).where("doc_id is not null").distinct().collect())
+    # Runs in descending order of ids; null ids come last.
+    runs = [*range(len(begins), 0, -1), *([0] if known and (not begins or low < begins[0]) else []), *([-1] if n > known else [])]
+    runs = runs or [-1]
+    before = F.when(F.col("run") == runs[0], runs[-1])
+    for k in range(max(1, len(runs) - 2), len(runs)):  # the run before 0 or -1 need not be 1 or 0
+        before = before.when(F.col("run") == runs[k], runs[k - 1])
+    placed = docs.select(_run_of(F.col("doc_id"), begins).alias("run"), "doc_id", "text")
+    first = F.min_by("text", F.struct(F.bitwise_not("doc_id"), F.xxhash64("text"), F.length("text").cast("long")))
+    heads = placed.groupBy("run").agg(first.alias("head")).select(
+        before.otherwise(F.col("run") + 1).cast("int").alias("run"), "head", digest(canonical(F.col("head"))).alias("head_fingerprint")
     )
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("n_chars")]
-    by_run = Window.partitionBy("run").orderBy(*order)
-    lined = base.select(
-        "*", F.row_number().over(by_run).alias("place"), F.lead("text").over(by_run).alias("next_text"),
-        F.lead("fingerprint").over(by_run).alias("next_fingerprint"),
+    base = placed.select(
+        "run", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("tie"), digest(canonical(F.col("text"))).alias("fingerprint")
     )
-    # One row for each run: a few thousandths of a thousandth of the documents.
-    runs = docs.select(run.alias("run")).distinct()
-    following = runs.select("run", F.lead("run").over(Window.orderBy(F.col("run").desc())).alias("after"))
-    following = following.withColumn("after", F.coalesce("after", runs.agg(F.max("run").alias("m")).scalar()))
-    heads = lined.where("place = 1").select(F.col("run").alias("after"), F.col("text").alias("head_text"), F.col("fingerprint").alias("head_fingerprint"))
-    inner = lined.where("next_fingerprint is not null").drop("place", "run")
-    last = (
-        lined.where("next_fingerprint is null").drop("place", "next_text", "next_fingerprint").join(following, "run").join(heads, "after")
-        .select("doc_id", "text", "n_chars", "tie", "fingerprint", F.col("head_text").alias("next_text"), F.col("head_fingerprint").alias("next_fingerprint"))
+    by_run = Window.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last(), "tie", "n_chars")
+    lined = base.select("*", F.lead("text").over(by_run).alias("next_text"), F.lead("fingerprint").over(by_run).alias("next_fingerprint"))
+    last = (lined["run"] == heads["run"]) & lined["next_fingerprint"].isNull()
+    both = lined.join(heads, last, "left").select(
+        "doc_id", "text", "n_chars", "fingerprint", F.coalesce("next_text", "head").alias("next_text"), F.coalesce("next_fingerprint", "head_fingerprint").alias("next_fingerprint")
     )
-    both = inner.unionByName(last)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
 
