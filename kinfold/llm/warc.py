@@ -2,8 +2,8 @@
 
 An archive begins with a skippable frame that holds the dictionary, itself a Zstandard frame; each record that follows is a frame of
 its own, compressed with that dictionary, so that a reader can begin at any record. The dictionary is trained on a
-bounded sample of the payloads to be archived. Archives are rows of a table with their bytes, written by
-Spark into the shared folder, so that a task that is run again replaces its files as a whole; `export` copies them out as files.
+bounded sample of pieces, chosen by hash from all over the payloads to be archived. Archives are rows of a table with their bytes, written by
+Spark into the shared folder, so that a task that is run again replaces its files as a whole; `export` has the executors write them as files.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import join_hot, stage
 
 SKIPPABLE, LEVEL = 0x184D2A5D, 3
 ARCHIVE_BYTES = 16 << 20
-SAMPLE, SAMPLE_BYTES, DICTIONARY = 1500, 16 << 10, 112_640
+#: Pieces of PIECE bytes that the dictionary is trained on, about SAMPLE of them.
+SAMPLE, PIECE, DICTIONARY = 3000, 4 << 10, 112_640
 SMALL = 1000
 #: Bytes handed to the decompressor at once; what it leaves over is read again.
 CHUNK = 16 << 10
@@ -30,11 +31,15 @@ DATE = "2000-01-01T00:00:00Z"
 
 
 def train_dictionary(payloads: DataFrame, sample: int = SAMPLE) -> bytes:
-    """A dictionary of about `sample` payloads, chosen by hash, of which SAMPLE_BYTES each are read; none gives b''."""
-    n = payloads.count()
-    share = F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < (1_000_000 * sample // max(n, 1) + 1)
-    rows = payloads.where(share | F.lit(n <= sample)).select(F.substring("payload", 1, SAMPLE_BYTES).alias("x")).limit(2 * sample).collect()
-    samples = [bytes(r.x) for r in rows if r.x]
+    """A dictionary of about `sample` pieces of the distinct payloads, chosen by a hash of payload and place; none gives b''."""
+    pieces = F.ceil(F.octet_length("payload") / PIECE).cast("int")
+    total = payloads.agg(F.sum(pieces)).first()[0] or 0
+    grid = 1 << 30
+    chosen = F.filter(F.sequence(F.lit(0), pieces - 1), lambda i: F.pmod(F.xxhash64("sha1", i), F.lit(grid)) < F.lit(grid * min(sample, total) // max(total, 1)))
+    some = payloads.where("octet_length(payload) > 0").select("sha1", "payload", F.explode(chosen).alias("i"))
+    # Copies of one payload choose the same pieces, which count once.
+    rows = some.select("sha1", "i", F.substring("payload", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("x")).dropDuplicates(["sha1", "i"]).toArrow()
+    samples = [bytes(x) for x in rows.sort_by([("sha1", "ascending"), ("i", "ascending")]).column("x").to_pylist()]
     if not samples:
         return b""
     try:
@@ -129,21 +134,22 @@ def write_warc(pages: DataFrame, dictionary: bytes | None = None) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     if dictionary is None:
-        dictionary = train_dictionary(rows.select("page_id", "payload"))
+        dictionary = train_dictionary(rows.select("sha1", "payload"))
     kept = (
         rows.where(f"size >= {SMALL}").groupBy("sha1", "size")
-        .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
     )
     kept = stage(kept, "originals")
-    told = rows.join(kept, ["sha1", "size"], "left").withColumn("refers_to", F.when((F.col("page_id") != F.col("original")) | F.col("page_id").isNull(), F.col("original")))
+    copies = kept.agg(F.sum("n")).first()[0] or 0
+    told = join_hot(rows, kept, ["sha1", "size"], "n", copies, "left").withColumn("refers_to", F.when((F.col("page_id") != F.col("original")) | F.col("page_id").isNull(), F.col("original")))
     bare = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
     out = told.select("page_id", "url", bare.alias("payload"), "size", "sha1", "refers_to")
     return stage(out.mapInArrow(_write(dictionary), "name string, records long, content binary"), "warc")
 
 
-def frames(content: bytes) -> Iterator[bytes]:
+def frames(content: bytes | pa.Buffer) -> Iterator[bytes]:
     """The uncompressed frames of an archive, with the dictionary from its leading frame; an archive cut short is an error."""
-    at, dictionary = 0, None
+    content, at, dictionary = memoryview(content), 0, None
     magic, size = struct.unpack_from("<II", content) if len(content) >= 8 else (0, 0)
     if magic == SKIPPABLE:
         dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(content[8 : 8 + size]))
@@ -171,42 +177,65 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["content-length"])]
 
 
-def _read(batches):
+def _read(strict: bool):
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
     number = lambda x: int(x[len("<urn:x-page:") : -1]) if len(x) > len("<urn:x-page:>") else None
-    for batch in batches:
-        for content in batch.column("content"):
-            rows: list[tuple] = []
-            for data in frames(content.as_py()):
-                headers, block = parse(data)
-                if headers["warc-type"] == "warcinfo":
-                    continue
-                http, _, payload = block.partition(b"\r\n\r\n")
-                size = int(http.lower().split(b"content-length:")[1].split(b"\r\n")[0])
-                digest = base64.b32decode(headers["warc-payload-digest"].partition(":")[2])
-                revisit = headers["warc-type"] == "revisit"
-                intact = revisit or (len(payload) == size and hashlib.sha1(payload).digest() == digest)
-                rows.append((number(headers["warc-record-id"]), headers.get("warc-target-uri"), size, digest.hex(), headers["warc-type"], number(headers["warc-refers-to"]) if revisit else None, intact))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-def read_warc(archives: DataFrame) -> DataFrame:
-    """A row for each record of the archives; intact says that a response's payload has the size and digest it is filed under."""
+
+    def row(data: bytes) -> tuple | None:
+        headers, block = parse(data)
+        kind = headers["warc-type"]
+        if kind == "warcinfo":
+            return None
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = int(http.lower().split(b"content-length:")[1].split(b"\r\n")[0])
+        digest = base64.b32decode(headers["warc-payload-digest"].partition(":")[2])
+        intact = True
+        if kind == "response":  # what was read counts, not what the headers say
+            filed, size, digest = (size, digest), len(payload), hashlib.sha1(payload).digest()
+            intact = filed == (size, digest)
+            if strict and not intact:
+                raise ValueError(f"the payload of {headers['warc-record-id']} isn't what its headers say")
+        refers = number(headers["warc-refers-to"]) if kind == "revisit" else None
+        return number(headers["warc-record-id"]), headers.get("warc-target-uri"), size, digest.hex(), kind, refers, intact
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = [r for data in frames(content.as_buffer()) if (r := row(data))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
+
+    return run
+
+
+def read_warc(archives: DataFrame, strict: bool = True) -> DataFrame:
+    """A row for each record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, intact.
+
+    Size and digest of a response are worked out from the payload that was read; one that differs from its headers is an error
+    or, without strict, has intact false. A revisit has no payload, so it gives the size and digest that it is filed under.
+    """
     return archives.select("content").mapInArrow(
-        _read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
+        _read(strict), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
     )
 
 
 def export(archives: DataFrame, folder: str) -> int:
-    """Copy archives out as files named after them, one at a time through Hadoop's file systems; returns how many."""
-    spark = archives.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    n = 0
-    for row in archives.select("name", "content").toLocalIterator():
-        out = fs.create(path(folder, row.name), True)
-        out.write(bytearray(row.content))
-        out.close()
-        n += 1
-    return n
+    """Write archives as files into a folder that all executors reach (a path or URI that Arrow's file systems know); returns how many.
+
+    Each task writes beside the target and renames, so that a task that is run again, or twice, leaves whole files.
+    """
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                aside = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}.inprogress"
+                with system.open_output_stream(aside, compression=None) as out:
+                    out.write(content.as_buffer())
+                system.move(aside, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return archives.select("name", "content").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
