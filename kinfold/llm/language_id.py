@@ -5,7 +5,11 @@ all ways to cut it into pieces, by the forward algorithm; a text's is the produc
 are estimated by expectation-maximisation over the words of a sample of at most about PER_LANGUAGE training
 texts a language; predictions use whole texts. A score is the language's share among all learned ones, times how
 certain the text is to be in a learned language at all: by how much its mean log probability per character exceeds that of
-a background model of single letters, in parts of what the language's own training words reach. Words are lower-cased runs of letters; those over LONGEST characters are cut there.
+a background model of single letters, in parts of what the language's own training words reach. Words are lower-cased runs of letters of any length:
+those of up to LONGEST are worked out together by length, longer ones, such as sentences of scripts without spaces, step by step.
+
+The vocabulary is that of a public SentencePiece model of 32,000 pieces under the Apache licence 2.0 (SHA-256 of the file: dadfd56d…e134055);
+its path is a parameter. Only its lower-case letter pieces are used, and none of its scores.
 """
 
 from __future__ import annotations
@@ -19,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import stage, unstage
+from .common import fresh, stage, unstage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PER_LANGUAGE, ROUNDS = 1000, 3
-LONGEST, PIECE, CACHE, CELLS = 48, 16, 600_000, 12_000_000
+LONGEST, PIECE = 48, 16
+#: Words, numbers and characters that a worker holds before it forgets them, and characters of texts that it takes at once.
+CACHE, CELLS, CHARACTERS, TOGETHER = 600_000, 12_000_000, 20_000_000, 2_000_000
 MARK = "▁"
 #: Every character stands for a factor of e**SCALE, so that long words don't underflow.
 SCALE, UNKNOWN = 3.0, 1e-7
@@ -31,7 +37,7 @@ SCALE, UNKNOWN = 3.0, 1e-7
 FLOOR, STEEP, LEAST_GAIN = 0.45, 20.0, 0.05
 #: The background holds no letter for rarer than RARE, so that a script nobody learned gains nothing from its vocabulary pieces.
 END, RARE = "", 1 / 32
-LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
@@ -100,6 +106,54 @@ class Lattice:
             np.add.at(into, ids, alpha[i] * table[ids] * beta[j])
 
 
+class Run:
+    """A word of any length, swept in steps that are normalised for each language, so that nothing underflows."""
+
+    def __init__(self, index: Pieces, word: str) -> None:
+        letters = np.frombuffer((MARK + word).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        self.n = len(letters)
+        self.ids = np.zeros((PIECE, self.n), dtype=np.int32)  # by length, less one, and begin
+        hashes = np.zeros(self.n, dtype=np.uint64)
+        for d in range(min(PIECE, self.n)):
+            hashes = hashes[: self.n - d] * Pieces.BASE + letters[d:]
+            self.ids[d, : self.n - d] = index.find(hashes, 0 if d else 1)
+
+    def _sweep(self, columns: np.ndarray, table: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """Log of the sum over all ways through the columns, one row of piece ids a step; kept gets it after every step."""
+        window = np.zeros((PIECE, table.shape[1]))
+        window[0], total = 1.0, np.zeros(table.shape[1])
+        for ids in columns:
+            new = (window * table[ids]).sum(axis=0)
+            window[1:] = window[:-1] / new
+            window[0] = 1.0
+            total = total + np.log(new)
+            if kept is not None:
+                kept.append(total)
+        return total
+
+    def _ends(self) -> np.ndarray:
+        ends = np.zeros((self.n, PIECE), dtype=np.int32)
+        for d in range(min(PIECE, self.n)):
+            ends[d:, d] = self.ids[d, : self.n - d]
+        return ends
+
+    def logs(self, probability: np.ndarray) -> np.ndarray:
+        """Log probability by language."""
+        return self._sweep(self._ends(), probability)
+
+    def expected(self, probability: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
+        """Add the expected count of every piece, the word counting weight[language] times."""
+        alpha, beta = [np.zeros(probability.shape[1])], [np.zeros(probability.shape[1])]
+        total = self._sweep(self._ends(), probability, alpha)
+        self._sweep(self.ids.T[::-1], probability, beta)
+        alpha, beta = np.array(alpha), np.array(beta[::-1])
+        for d in range(min(PIECE, self.n)):
+            at = np.flatnonzero(self.ids[d])
+            ids = self.ids[d, at]
+            share = np.exp(alpha[at] + beta[at + d + 1] - total) * probability[ids]
+            np.add.at(into, ids, share * weight)
+
+
 def apart(found: list[str], letters: dict[str, float]) -> np.ndarray:
     """Log probability of each word under the background model."""
     rare = float(np.log(RARE))
@@ -109,7 +163,8 @@ def apart(found: list[str], letters: dict[str, float]) -> np.ndarray:
 def _by_length(found: list[str], most: int = 20_000):
     groups: dict[int, list[str]] = {}
     for w in found:
-        groups.setdefault(len(w), []).append(w)
+        if len(w) <= LONGEST:
+            groups.setdefault(len(w), []).append(w)
     for group in groups.values():
         for i in range(0, len(group), most):
             yield group[i : i + most]
@@ -137,15 +192,22 @@ class Model:
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
+        self.characters = 0
         self.logs = np.zeros((1024, len(self.languages) + 2))
 
     def learn(self, found: set[str]) -> None:
         """Give new words a row: log probabilities by language, by the background, and the length with the end."""
-        if len(self.rows) > min(CACHE, CELLS // (len(self.languages) + 2)):
+        if len(self.rows) > min(CACHE, CELLS // (len(self.languages) + 2)) or self.characters > CHARACTERS:
             self.clear()
         new = [w for w in found if w not in self.rows]
+        self.characters += sum(map(len, new))
         if len(self.rows) + len(new) > len(self.logs):
             self.logs = np.concatenate([self.logs, np.zeros((len(self.logs) + len(new), self.logs.shape[1]))])
+        for w in [w for w in new if len(w) > LONGEST]:
+            at = len(self.rows)
+            run = Run(self.index, w)
+            self.logs[at, :-2], self.logs[at, -2], self.logs[at, -1] = run.logs(self.probability), apart([w], self.letters or {})[0], run.n
+            self.rows[w] = at
         for group in _by_length(new, max(100, min(20_000, CELLS // 100 // max(1, len(self.languages))))):
             lattice = Lattice(self.index, group)
             at = len(self.rows)
@@ -187,10 +249,13 @@ def fit(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROU
     start[0], start[1] = 0.0, UNKNOWN
     model = Model(languages, pieces, start)
     lattices = [(Lattice(model.index, g), np.array([weights[w] for w in g])) for g in _by_length(sorted(weights))]
+    runs = [(Run(model.index, w), w) for w in sorted(weights) if len(w) > LONGEST]
     for _ in range(rounds if languages else 0):
         total = np.full(start.shape, 0.0)
         for lattice, weight in lattices:
             lattice.expected(model.table, weight, total)
+        for run, w in runs:
+            run.expected(model.probability, weights[w], total)
         total[2:] += 0.01
         total[:2] = 0.0
         probability = total / np.maximum(total.sum(axis=0), 1e-300) * (1 - UNKNOWN)
@@ -203,6 +268,9 @@ def fit(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROU
         logs = np.log(np.maximum(lattice.forward(model.table)[lattice.n], 1e-300)) - SCALE * lattice.n
         gained += (weight * (logs - apart(lattice.group, letters)[:, None])).sum(axis=0)
         size += weight.sum(axis=0) * lattice.n
+    for run, w in runs:
+        gained += weights[w] * (run.logs(model.probability) - apart([w], letters)[0])
+        size += weights[w] * run.n
     return Model(languages, pieces, model.probability, letters, np.maximum(gained / np.maximum(size, 1), LEAST_GAIN))
 
 
@@ -254,28 +322,36 @@ def train(docs: DataFrame, path: str = VOCABULARY, per_language: int = PER_LANGU
     return Model(learned.column("lang").to_pylist(), pieces, probability, letters, np.array(learned.column("gain").to_pylist()))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with lang_pred and lang_score: the share of that language, lowered for texts that don't look like it.
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """All columns of docs with lang_pred and lang_score (or other names): the share of that language, lowered for texts that don't look like it.
 
-    A text that is null or has no letter is `und` with score 0.
+    A text that is null or has no letter is `und` with score 0. Columns of those names give way.
     """
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probability, model.letters, model.gains))
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in {n.lower() for n in names}])
 
     def run(batches):
         found = Model(*held.value)
         for batch in batches:
-            texts = batch.column("text").cast(pa.string()).to_pylist()
             out: list[tuple[str, float]] = []
-            for begin in range(0, len(texts), 1000):
-                out += found.predict(texts[begin : begin + 1000])
+            waiting: list[str | None] = []
+            size = 0
+            for text in batch.column("text").cast(pa.string()):
+                waiting.append(text.as_py())
+                size += len(waiting[-1] or "")
+                if len(waiting) >= 1000 or size >= TOGETHER:
+                    out += found.predict(waiting)
+                    waiting, size = [], 0
+            out += found.predict(waiting)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "lang_score"],
+                names=[*batch.schema.names, *names],
             )
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.65, path: str = VOCABULARY) -> DataFrame:
-    """The rows of docs whose language is recognised with a score of `least` or more; every column is kept."""
-    return predict(docs, train(docs, path)).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).drop("lang_pred", "lang_score")
+    """The rows of docs whose language is recognised with a score of `least` or more; every column is kept, whatever its name."""
+    names = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    return predict(docs, train(docs, path), names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).drop(*names)

@@ -26,7 +26,7 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = compression_quality.train(docs, labels.where(fold(5) != 0))
     scored = compression_quality.score(docs, model, ["doc_id"])
     score = F.col("quality_score")
-    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), score.alias("score"), (score >= compression_quality.KEEP).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= compression_quality.KEEP).cast("int").alias("predicted"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(F.coalesce(fold(4), F.lit(-1)) != 2))
     guessed = language_id.predict(docs.select("doc_id", "text"), model)
-    return guessed.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return guessed.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
