@@ -3,19 +3,23 @@
 Paragraphs earn points for their length and commas; the points go up to their ancestors, halved with each level, and a
 container's total is discounted by the share of its text inside links. The best container and those of its siblings that belong
 to it are kept, without menus, headers, footers, asides, notices, adverts, forms, scripts, styles and comments.
+
+What an element is called tells less inside an article or of a paragraph: there a name counts only as a whole ("ad-slot", but not "share-price"), or
+for a container that is short or mostly links; and unless it names adverts, comments or the like, a paragraph has to be short or mostly links, too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^<>]*+)>", re.S
+    r"<!--(?:.*?-->|.*)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^<>]*+)>", re.S
 )
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
@@ -40,6 +44,13 @@ DROP_WORDS = frozenset(
     " login masthead menu modal nav navbar navigation newsletter notice notification notifications pager pagination popup promo promotion promoted recommended recommendations"
     " related respond responses share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Words whose elements go even if they are a long paragraph, and words that say nothing beside another.
+SURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising advertorial banner comment comments consent cookie cookies disqus gdpr newsletter popup promo promoted sponsor sponsored".split())
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box button buttons center column container content custom desktop element first float group head icon icons id in inline inner item items js large last left"
+    " line link links list main mobile module new on outer page panel primary right row secondary section site slot small sticky text title top unit wrap wrapper zone".split()
+)
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 ALERTS = frozenset("alert alerts announcement disclaimer header topbar".split())
 NEGATE = frozenset("has with no without non".split())
 GOOD_WORDS = frozenset("article body content entry main page post story text".split())
@@ -56,10 +67,20 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tag, parent, attrs, items = ["html"], [-1], [""], []
-    stack = [0]
+    stack, places = [0], {"html": [0]}  # open elements, and the places of each tag among them
+    seen = {"html"}
     at = 0
     find = TOKEN.search
 
+    def cut(k: int) -> bool:
+        """Close all elements from place k of the stack; tells whether a block was among them."""
+        block = False
+        while len(stack) > k:
+            closed = tag[stack.pop()]
+            places[closed].pop()
+            block |= closed in BLOCK
+        return block
+
     while m := find(page, at):
         if m.start() > at:
             items.append((stack[-1], page[at : m.start()]))
@@ -69,23 +90,22 @@ def main_text(page: str | None) -> str:
             continue
         name = name.lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == name:
-                    if name in BLOCK or any(tag[x] in BLOCK for x in stack[k:]):
-                        items.append((stack[k], None))
-                    del stack[k:]
-                    break
-            continue
-        if name in ("html", "body") and name in tag:
+            held = places.get(name)
+            if held and held[-1]:
+                k = held[-1]
+                closed = stack[k]
+                if cut(k):
+                    items.append((closed, None))
             continue
+        if name in ("html", "body"):
+            if name in seen:
+                continue
+            seen.add(name)
         if closing := CLOSES.get(name):
-            stop = BARRIER.get(name, OTHER_BARRIER)
-            for k in range(len(stack) - 1, 0, -1):
-                t = tag[stack[k]]
-                if t in closing:
-                    del stack[k:]
-                elif t in stop:
-                    break
+            stop = max((held[-1] for t in BARRIER.get(name, OTHER_BARRIER) if (held := places.get(t))), default=0)
+            above = [held[bisect_right(held, stop)] for t in closing if (held := places.get(t)) and held[-1] > stop]
+            if above:
+                cut(min(above))
         n = len(tag)
         tag.append(name)
         parent.append(stack[-1])
@@ -95,9 +115,10 @@ def main_text(page: str | None) -> str:
         elif name == "br":
             items.append((stack[-1], " "))
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}\b[^<>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID and not m.group(3).endswith("/") or name in BLOCK and name not in VOID:
+            places.setdefault(name, []).append(len(stack))
             stack.append(n)
     if at < len(page):
         items.append((stack[-1], page[at:]))
@@ -107,6 +128,17 @@ def main_text(page: str | None) -> str:
     for i in range(n - 1, 0, -1):
         if tag[i] in ("h1", "main") or holds[i]:
             holds[parent[i]] = 1
+    size, linked = [0] * n, [0] * n  # characters, and those in links, of each element with all below it
+    in_link = bytearray(n)
+    for i in range(1, n):
+        in_link[i] = tag[i] == "a" or in_link[parent[i]]
+    for i, raw in items:
+        if raw is not None and not raw.isspace():
+            size[i] += len(raw)
+            linked[i] += len(raw) * in_link[i]
+    for i in range(n - 1, 0, -1):
+        size[parent[i]] += size[i]
+        linked[parent[i]] += linked[i]
     drop, bonus, inside = bytearray(n), [0.0] * n, bytearray(n)
     for i in range(n):
         up = parent[i]
@@ -136,6 +168,10 @@ def main_text(page: str | None) -> str:
                     words = _words(name)
                     plain = not any(w in NEGATE for w in words)
                     bad = plain and any(w in DROP_WORDS or w in ALERTS and not inside[i] for w in words)
+                    if bad and (inside[i] or tag[i] in PARAGRAPHS):
+                        whole = all(w in DROP_WORDS or w in PLAIN_WORDS for w in words)
+                        slight = size[i] < 60 or 4 * linked[i] > size[i]
+                        bad = whole and (slight or any(w in SURE_WORDS for w in words)) if tag[i] in PARAGRAPHS else whole or slight
                     if bad and tag[i] not in KEPT_TAGS and not holds[i]:
                         drop[i] = 1
                     elif bad and tag[i] == "article" and any(w in ("comment", "comments", "ad", "advert", "promo", "related", "sponsored") for w in words):
@@ -145,9 +181,6 @@ def main_text(page: str | None) -> str:
 
     # Text, commas and linked text of each node: its own first, then with all below it.
     own, commas, linked, total = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = bytearray(n)
-    for i in range(1, n):
-        in_link[i] = tag[i] == "a" or in_link[parent[i]]
     holder = list(range(n))  # the block that a node's text belongs to
     for i in range(1, n):
         if tag[i] not in BLOCK:
@@ -159,13 +192,13 @@ def main_text(page: str | None) -> str:
             continue
         text = html.unescape(raw) if "&" in raw else raw
         texts.append(text)
-        size = len(text) if not text.isspace() else 0
-        if size:
-            own[holder[i]] += size
+        length = len(text) if not text.isspace() else 0
+        if length:
+            own[holder[i]] += length
             commas[holder[i]] += text.count(",") + text.count("،") + text.count("、") + text.count("，")
-            total[i] += size
+            total[i] += length
             if in_link[i]:
-                linked[i] += size
+                linked[i] += length
     links = [0] * n
     for i in range(n - 1, 0, -1):
         if not drop[i]:
