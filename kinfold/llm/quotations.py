@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stage, text_or_empty, unstage
+from .common import hex64, let, stage, text_or_empty, unstage
 from .decontaminate import MAX_BITS, _bits, _cell, _is_set
 
 SPAN = 6
@@ -87,12 +87,14 @@ def _contained(quoted: DataFrame, messages: DataFrame) -> DataFrame:
         return _is_set(wanted, _cell(h, bits)) & _is_set(wanted, _cell(h, bits, 1))
 
     runs = [F.filter(F.transform(_runs_of(F.col("own"), n), lambda h: F.xxhash64("conv_id", h)), known) for n in sorted(size[1])]
-    held = messages.select("conv_id", "turn", F.xxhash64("own").alias("whole"), F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *runs))).alias("seed"))
+    seeds = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *runs))
+    # Messages of one text count once, so that a line that very many messages share makes no row for each.
+    held = messages.groupBy("conv_id", F.xxhash64("own").alias("whole"), "own").agg(F.min("turn").alias("turn")).select("conv_id", "turn", "whole", F.explode(seeds).alias("seed"))
     met = (
         held.join(units.select("conv_id", "seed", "passage", "n"), ["conv_id", "seed"])
         .groupBy("conv_id", "passage", "n", "whole").agg(F.min("turn").alias("turn"))
     )
-    texts = messages.select("conv_id", "turn", "own", F.xxhash64("own").alias("whole")).dropDuplicates(["conv_id", "turn", "whole"])
+    texts = messages.groupBy("conv_id", F.xxhash64("own").alias("whole"), "own").agg(F.min("turn").alias("turn"))
     long = (
         met.where(F.col("n") > SPAN).join(units.select("conv_id", "passage", "said"), ["conv_id", "passage"]).join(texts, ["conv_id", "turn", "whole"])
         .where(F.instr(F.concat(F.lit(" "), "own", F.lit(" ")), F.concat(F.lit(" "), "said", F.lit(" "))) > 0)
@@ -102,11 +104,12 @@ def _contained(quoted: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def link_quotations(conversations: DataFrame) -> DataFrame:
-    """One row per row of conversations: conv_id, turn, role, text, n_quoted, reply_to, thread_root, depth.
+    """One row per row of conversations: conv_id, turn, role, text, n_quoted, reply_to, thread_root, depth, order_key.
 
     text is the message without quotations and the lines that introduce them. n_quoted counts quoted lines;
     reply_to is the turn replied to, null if the message quotes nothing that an earlier turn wrote; thread_root
-    and depth give the reply tree, and sorting by (conv_id, thread_root, turn) puts a message after the one it replies to.
+    and depth give the reply tree. Sorting a conversation by order_key gives its threads one after the other, each message
+    after the one it replies to; `build_conversations` does so.
     Passages that a message quotes from itself or a later turn link nothing. A null text is empty; rows with a null conv_id or turn
     pass through without links; rows that repeat a turn share their links. Other columns are left out.
     """
@@ -121,8 +124,13 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     )
     quoted = stage(quoted, "quoted")
     own = _own(F.col("lines"))
+    # Conversations that quote something, and perhaps a few others: no conversation is shuffled as a whole.
+    here = F.xxhash64("conv_id")
+    named = quoted.select("conv_id").distinct()
+    bits = min(MAX_BITS, max(14, math.ceil(math.log2(32 * max(1, named.count())))))
+    quoting = _is_set(_bits(named.select(_cell(here, bits).alias("cell")), bits), _cell(here, bits))
     messages = stage(
-        parsed.where("conv_id is not null and turn is not null").join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+        parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & quoting)
         .select("conv_id", "turn", own.alias("written"), normal(F.concat_ws(" ", own)).alias("own")).where("own <> ''"),
         "own",
     )
@@ -144,12 +152,28 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     roots = _roots(edges)
     linked = parsed.join(roots, ["conv_id", "turn"], "left")
     text = F.regexp_replace(F.concat_ws("\n", own), r"^\s+|\s+$", "")
+    root = F.coalesce("thread_root", "turn")
     return linked.select(
         "conv_id", "turn", "role", F.when(F.col("n_quoted") > 0, text).otherwise(F.concat_ws("\n", F.transform("lines", lambda x: x["said"]))).alias("text"),
-        F.col("n_quoted").cast("long").alias("n_quoted"), "reply_to", F.coalesce("thread_root", "turn").alias("thread_root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.col("n_quoted").cast("long").alias("n_quoted"), "reply_to", root.alias("thread_root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.concat(_sortable(root), F.lit("."), _sortable(F.col("turn"))).alias("order_key"),
     )
 
 
+def _sortable(turn: Column) -> Column:
+    """A long as 16 hex digits that sort as the numbers do, negative ones first."""
+    return hex64(turn.cast("long").bitwiseXOR(F.lit(-(2**63))))
+
+
+def build_conversations(linked: DataFrame) -> DataFrame:
+    """The rows of link_quotations in the order of their conversations: by conv_id and order_key over all partitions and within each.
+
+    A long conversation may go on in the next partition; none has to fit into one task.
+    """
+    order = ["conv_id", "order_key"]
+    return linked.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def _roots(edges: DataFrame) -> DataFrame:
     """Root and depth of every replying message by pointer doubling; replies go back in turn, so there are no cycles."""
     now = stage(edges.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("thread_root"), F.lit(1).cast("long").alias("depth")), "roots")
