@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, long_array, stage, text_or_empty
+from .common import let, long_array, stage, text_or_empty, unstage
 
 #: Masks by length of the stretch, for 80 % of at most 20 tokens; enumerated for every length in tests/llm. They begin
 #: with two ones: the first table of bits holds pairs of neighbours.
@@ -89,12 +89,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: i
     """Contaminated documents: doc_id, item_id, matched, compared, item_tokens; one row per document and item.
 
     matched of compared item tokens agree in the best stretch. Items without tokens match nothing. Null and empty texts match
-    nothing. Rows that repeat an id count together, null ids as one group. An empty table gives no rows.
+    nothing. Rows that repeat an id count together, null ids as one group, on either side. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    items = stage(
-        benchmark.select(F.col("item_id"), tokens(text_or_empty()).alias("it")).where("size(it) > 0").distinct(), "items"
-    )
+    items = benchmark.select(F.col("item_id"), tokens(text_or_empty()).alias("it")).where("size(it) > 0").distinct()
+    items = stage(items.withColumn("item", F.monotonically_increasing_id()), "items")
     shape = items.agg(F.count(F.lit(1)), F.sum(F.size("it")), F.collect_set(F.least(F.size("it"), F.lit(window)))).first()
     if not shape[0]:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched int, compared int, item_tokens int")
@@ -103,7 +101,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: i
         for m in masks_for(length, percent, window):
             masks.setdefault(m, []).append(length)
     single = "1" in masks
-    seeds = stage(items.select("item_id", F.explode(_windows(F.col("it"), masks, window)).alias("w")).select("item_id", "w.*"), "seeds")
+    seeds = stage(items.select("item", F.size("it").alias("size"), F.explode(_windows(F.col("it"), masks, window)).alias("w")).select("item", "size", "w.*"), "seeds")
     bits, wide = (min(MAX_BITS, max(14, math.ceil(math.log2(32 * n)))) for n in (shape[1], max(1, seeds.count())))
     pair_bits = _bits(
         items.select(F.explode(F.transform(_starts(F.col("it"), 2), lambda i: _cell(_pair(F.col("it"), i), bits))).alias("cell")), bits
@@ -134,13 +132,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: i
     met = (
         hit.select("row", F.explode("w").alias("w")).select("row", "w.*")
         .join(seeds.withColumnRenamed("pos", "at"), ["mask", "seed"])
-        .select("row", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+        .select("row", "item", "size", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     )
-    laid = met.join(hit.select("row", "doc_id", "t"), "row").join(items, "item_id")
-    size = F.size("it")
     begin = F.greatest(F.lit(0), -F.col("shift"))
+    # Of the text only the stretch beside the item goes on.
+    beside = F.slice(F.col("t"), begin + F.col("shift") + 1, F.greatest(F.col("size") - begin, F.lit(0)))
+    laid = met.join(hit.select("row", "doc_id", "t"), "row").select("doc_id", "item", "size", "shift", beside.alias("beside")).join(items, "item")
+    size = F.col("size")
     same = F.zip_with(
-        F.slice(F.col("it"), begin + 1, size), F.slice(F.col("t"), begin + F.col("shift") + 1, F.greatest(size - begin, F.lit(0))),
+        F.slice(F.col("it"), begin + 1, size), F.col("beside"),
         lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"),
     )
     laid = laid.withColumn("same", same).withColumn("need", F.least(size, F.lit(window)))
@@ -148,15 +148,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: i
         F.sequence(F.lit(1), F.greatest(F.size("same") - F.col("need") + 1, F.lit(1))),
         lambda i: F.aggregate(F.slice(F.col("same"), i, F.col("need")), F.lit(0), lambda n, x: n + x),
     ))
-    return (
+    found = (
         laid.select("doc_id", "item_id", best.alias("matched"), F.col("need").alias("compared"), size.alias("item_tokens"))
         .where(F.col("matched") * 100 >= F.col("compared") * percent)
         .groupBy("doc_id", "item_id")
         .agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"), F.max("item_tokens").alias("item_tokens"))
     )
+    found = stage(found, "overlaps")
+    unstage(items, seeds, hit)
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int = WINDOW) -> DataFrame:
     """The rows of docs that no benchmark item overlaps; every column is kept, and so are null ids."""
-    gone = stage(overlaps(docs, benchmark, percent, window).select("doc_id").where("doc_id is not null").distinct(), "leaks")
+    gone = overlaps(docs, benchmark, percent, window).select("doc_id").where("doc_id is not null").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
