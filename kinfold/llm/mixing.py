@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import join_hot, stage, unstage
 
 ENTROPY, EPOCHS, SEED = 0.95, 4.0, "mix"
 DIGITS, GRID, ROUNDS = 3, 64, 5
@@ -81,18 +81,19 @@ def mix(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY,
         docs.select(F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), token_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0"),
         "counted",
     )
-    sources = stage(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
-    total = sources.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
+    sources = stage(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "sources")
+    total, n_docs = sources.agg(F.sum("tokens").cast("double"), F.sum("n")).first()
+    total, n_docs = total or 0.0, n_docs or 0
     budget = total if budget is None else float(budget)
     alpha = solve_alpha(sources, budget, entropy, epochs)
     raw = F.pow(F.col("tokens") / F.lit(total or 1.0), F.lit(alpha))
     norm = sources.agg(F.sum(raw)).first()[0] or 1.0
     part = F.floor(F.lit(budget) * raw / F.lit(round(norm, 9)))
-    plan = sources.select("source", F.floor(part / F.col("tokens")).alias("whole"), (part - F.floor(part / F.col("tokens")) * F.col("tokens")).cast("long").alias("rest"))
+    plan = sources.select("source", "n", F.floor(part / F.col("tokens")).alias("whole"), (part - F.floor(part / F.col("tokens")) * F.col("tokens")).cast("long").alias("rest"))
 
     key = F.md5(F.concat_ws("|", "source", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch").cast("string"), F.lit(seed)))
     drawn = (
-        counted.join(plan, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
+        join_hot(counted, plan, ["source"], "n", n_docs).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
         .withColumn("order_key", key).withColumn("block", F.substring("order_key", 1, DIGITS))
     )
     full = drawn.where("epoch < whole").select("doc_id", "source", "epoch", "block", "order_key", "n_tokens")
