@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from .common import hex64, let, long_array, text_or_empty
 
-#: Documents in a run of the neighbour search, on average, and the most runs that begin at sampled ids.
-RUN, RUNS = 1024, 50_000
+#: Documents in a run of the neighbour search, on average, and the most runs; every FINE-th of the sampled ids begins a run, which keeps runs even.
+RUN, RUNS, FINE = 1024, 50_000, 16
 
 
 def canonical(text: Column) -> Column:
@@ -72,14 +72,15 @@ def neighbours(docs: DataFrame) -> DataFrame:
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null text is empty; null ids come
     after all others; rows with the same id follow by the hash of their text. A single document is its own next.
 
-    Runs of about RUN documents begin at ids that a hash chooses, at most about RUNS of them, so that runs are even however
+    Runs of about RUN documents begin at ids of a sample that a hash chooses, at most about RUNS of them, so that runs are even however
     the ids are spread; rows that share an id, or have none, lie in one run. One shuffle of the texts puts neighbours together,
     and the last row of each run gets the first of the next, found by an aggregation that keeps one row a run before anything is shuffled.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     low, known, n = docs.agg(F.min("doc_id"), F.count("doc_id"), F.count(F.lit(1))).first()
-    share = max(RUN, -(-known // RUNS))
-    begins = sorted(r[0] for r in docs.select("doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(share)) == 0).where("doc_id is not null").distinct().collect())
+    share = max(1, RUN // FINE, -(-known // (RUNS * FINE)))
+    sample = sorted(r[0] for r in docs.select("doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(share)) == 0).where("doc_id is not null").distinct().collect())
+    begins = sample[::FINE]
     # Runs in descending order of ids; null ids come last.
     runs = [*range(len(begins), 0, -1), *([0] if known and (not begins or low < begins[0]) else []), *([-1] if n > known else [])]
     runs = runs or [-1]
