@@ -127,5 +127,52 @@ l AS (
 ), r(x, y) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM r WHERE r.x = t.doc_id) AS component_id, (SELECT count(*) FROM l WHERE l.x = t.doc_id) AS n_links
 FROM t LEFT JOIN n USING (doc_id)
+""",
+    "op9_quotations": r"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS row, conv_id, turn, role, string_split(regexp_replace(coalesce(text, ''), '\r\n', chr(10), 'g'), chr(10)) AS raw FROM conversations
+), x AS (
+  SELECT row, conv_id, turn, role, i, regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1) AS marks, regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '') AS said
+  FROM (SELECT row, conv_id, turn, role, unnest(raw) AS line, generate_subscripts(raw, 1) AS i FROM m)
+), l AS (
+  SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, trim(regexp_replace(lower(said), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS norm FROM x
+), k AS (
+  SELECT *, lag(level) OVER w AS before, level = 0 AND NOT (regexp_matches(said, '(?i)^\s*(on\b.*\bwrote|.{0,200}\bwrote|.{0,200}\bwrites):\s*$') AND coalesce(lead(level) OVER w, 0) > 0) AS own
+  FROM l WINDOW w AS (PARTITION BY row ORDER BY i)
+), g AS (SELECT *, sum((before IS NULL OR before <> level)::INT) OVER (PARTITION BY row ORDER BY i) AS run FROM k),
+t AS (
+  SELECT row, conv_id, turn, role, sum((level > 0)::INT)::BIGINT AS n_quoted, coalesce(string_agg(said, chr(10) ORDER BY i) FILTER (WHERE own), '') AS kept, string_agg(said, chr(10) ORDER BY i) AS whole,
+    trim(regexp_replace(lower(coalesce(string_agg(said, ' ' ORDER BY i) FILTER (WHERE own), '')), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS own
+  FROM g GROUP BY ALL
+), p AS (
+  SELECT DISTINCT conv_id, turn, level, norm AS said FROM g WHERE level > 0 AND norm <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL
+  UNION
+  SELECT conv_id, turn, level, said FROM (
+    SELECT conv_id, turn, level, trim(regexp_replace(lower(string_agg(said, ' ' ORDER BY i)), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS said
+    FROM g WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY row, conv_id, turn, level, run) WHERE said <> ''
+), o AS (
+  SELECT conv_id, said, min(turn) AS origin FROM (
+    SELECT g.conv_id, g.norm AS said, g.turn FROM g JOIN t USING (row) WHERE g.own AND t.own <> '' UNION ALL SELECT conv_id, own, turn FROM t WHERE own <> '') GROUP BY 1, 2
+), s AS (
+  SELECT p.*, CASE WHEN o.origin < p.turn THEN o.origin ELSE (SELECT min(t.turn) FROM t WHERE t.conv_id = p.conv_id AND contains(' ' || t.own || ' ', ' ' || p.said || ' ')) END AS origin
+  FROM p LEFT JOIN o USING (conv_id, said)
+), v AS (SELECT conv_id, turn, origin, min(level) AS level, count(*) AS n FROM s WHERE origin < turn GROUP BY 1, 2, 3),
+e AS (SELECT conv_id, turn, origin AS reply_to FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) = 1),
+r AS (
+  SELECT conv_id, turn, reply_to, reply_to AS root, 1 AS depth FROM e
+  UNION ALL SELECT r.conv_id, r.turn, r.reply_to, e.reply_to, r.depth + 1 FROM r JOIN e ON e.conv_id = r.conv_id AND e.turn = r.root
+), f AS (SELECT conv_id, turn, reply_to, arg_max(root, depth) AS thread_root, max(depth) AS depth FROM r GROUP BY 1, 2, 3)
+SELECT t.conv_id, t.turn, t.role, CASE WHEN n_quoted > 0 THEN regexp_replace(kept, '^\s+|\s+$', '', 'g') ELSE whole END AS text, n_quoted, reply_to, coalesce(thread_root, t.turn) AS thread_root,
+  coalesce(depth, 0)::BIGINT AS depth, printf('%016x.%016x', xor(coalesce(thread_root, t.turn), -9223372036854775808), xor(t.turn, -9223372036854775808)) AS order_key
+FROM t LEFT JOIN f ON f.conv_id = t.conv_id AND f.turn = t.turn
+""",
+    "op10_decontaminate": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents),
+i AS (SELECT item_id, w, len(w)::INT AS size, least(len(w), 20)::INT AS need FROM (SELECT item_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM benchmark) WHERE len(w) > 0),
+x AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM d),
+y AS (SELECT item_id, size, need, unnest(w) AS tok, generate_subscripts(w, 1) AS place FROM i),
+m AS (SELECT doc_id, item_id, size, need, pos - place AS shift, place FROM x JOIN y USING (tok)),
+s AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY place RANGE BETWEEN CURRENT ROW AND need - 1 FOLLOWING) AS n FROM m)
+SELECT doc_id, item_id, max(n)::INT AS matched, need AS compared, size AS item_tokens FROM s GROUP BY doc_id, item_id, need, size HAVING max(n) * 100 >= need * 80
 """,
 }
