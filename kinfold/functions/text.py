@@ -78,6 +78,9 @@ def transliterate(text: Column) -> Column:
         return F.coalesce(F.element_at(table, c), F.when(plain == "", c).otherwise(plain))
 
     spelt = F.array_join(F.transform(F.split(text, ""), latin), "")
+    # Without a letter of the seven scripts the whole text goes at once; a mark that stands for itself is a gap either way.
+    plain = F.regexp_replace(_icu("decompose", F.regexp_replace(text, r"\p{M}", " ")), r"\p{M}", "")
+    spelt = F.when(text.rlike(f"[{chr(0x900)}-{chr(0xD7F)}]"), spelt).otherwise(plain)
     return F.when(~is_non_ascii(text), text).otherwise(F.lower(collapse(F.regexp_replace(spelt, r"[^a-zA-Z0-9\s]", " "))))
 
 

@@ -87,7 +87,7 @@ def _i() -> Column:
 
 
 def _j() -> Column:
-    rom = T.legal(T.transliterate(F.col("name")))
+    rom = F.col("rom_name")
     packed = F.replace(rom, F.lit(" "), F.lit(""))
     t = F.filter(T.words(rom), lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
     return keys(
@@ -146,7 +146,10 @@ def _last(words: Column, n: int) -> Column:
 
 @dataclass(frozen=True)
 class Channel:
-    """A channel's name, its bit in pair masks, and its keys. cap limits a key's postings that are probed, first ones first; whole drops keys with more."""
+    """A channel's name, its bit in pair masks, and its keys. cap limits a key's postings that are probed, first ones first; whole drops keys with more.
+
+    A whole channel is met under each of COMPOSITE_CAPS that its key keeps to: at bit, bit + 4 and so on.
+    """
 
     name: str
     bit: int
@@ -155,11 +158,21 @@ class Channel:
     whole: bool = False
 
 
+COMPOSITE_CAPS = (150, 300)
 SIMPLE = [Channel("A", 0, _a, 30), Channel("C", 2, _c), Channel("E", 4, _e), Channel("F", 5, _f), Channel("G", 6, _g), Channel("H", 7, _h), Channel("I", 8, _i), Channel("J", 9, _j), Channel("K", 10, _k), Channel("L", 11, _l)]
-CROSS = [Channel(f"H{n}", 11 + n, _cross(n), 150, True) for n in (1, 2, 3, 4)]
+CROSS = [Channel(f"H{n}", 11 + n, _cross(n), COMPOSITE_CAPS[-1], True) for n in (1, 2, 3, 4)]
 CHANNELS = {c.name: c for c in [*SIMPLE, Channel("B", 1, lambda: keys()), Channel("D", 3, lambda: keys()), *CROSS]}
 
 
+def mask_of(names) -> int:
+    """The mask of channels; a name such as H2@300 gives a cap, the least of COMPOSITE_CAPS without."""
+    out = 0
+    for name in names:
+        channel, _, cap = name.partition("@")
+        out |= 1 << CHANNELS[channel].bit + (4 * COMPOSITE_CAPS.index(int(cap)) if cap else 0)
+    return out
+
+
 def channel_keys(records: DataFrame, names: list[str]) -> DataFrame:
     """entity_id, src, country, channel, ktype, kval: one scan and one Generate for all channels."""
     made = [_tagged(n) for n in names]
@@ -196,31 +209,29 @@ def rare_keys(records: DataFrame, channel: str, tokens: Column, vocab: DataFrame
 
 
 def postings(keyed: DataFrame, names: list[str]) -> DataFrame:
-    """Candidate postings that a probe reads: the first `cap` of a key, or all of a key with at most `cap`.
+    """Candidate postings that a probe reads, with the key's number of them: the first `cap` of a key, or all of a key with at most `cap`.
 
-    Order is source, then id. The literal bound lets the planner cut each task's groups before the shuffle.
+    Order is source, then id. The literal bound lets the planner cut each task's groups before the shuffle, so that n is right up to
+    the largest cap; the count reads the same sorted groups as the ranks.
     """
     group = ["channel", "country", "ktype", "kval"]
     cap = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(CHANNELS[n].cap))])[F.col("channel")]
-    whole = [n for n in names if CHANNELS[n].whole]
+    whole = F.col("channel").isin(*[n for n in names if CHANNELS[n].whole])
     most = max(CHANNELS[n].cap for n in names) + 1
-    w = Window.partitionBy(*group).orderBy("src", "entity_id")
-    ranked = keyed.where("src <> 'S1'").withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most)
-    first = ranked.where(~F.col("channel").isin(*whole) & (F.col("pos") <= cap)) if whole else ranked.where(F.col("pos") <= cap)
-    out = first.select(*group, F.col("entity_id").alias("cand_id"))
-    if whole:
-        bounded = ranked.where(F.col("channel").isin(*whole))
-        over = bounded.where(F.col("pos") > cap).select(*group).distinct()
-        out = out.unionByName(bounded.join(over, group, "left_anti").select(*group, F.col("entity_id").alias("cand_id")))
-    return out
+    by_key = Window.partitionBy(*group)
+    ranked = keyed.where("src <> 'S1'").withColumn("pos", F.row_number().over(by_key.orderBy("src", "entity_id"))).where(F.col("pos") <= most)
+    ranked = ranked.withColumn("n", F.count(F.lit(1)).over(by_key))
+    return ranked.where(F.when(whole, F.col("n") <= cap).otherwise(F.col("pos") <= cap)).select(*group, F.col("entity_id").alias("cand_id"), "n")
 
 
 def candidate_pairs(keyed: DataFrame, names: list[str]) -> DataFrame:
     """s1_id, cand_id, mask of channels, hits: number of keys met, cross-field channels not counted."""
-    bit = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(1 << CHANNELS[n].bit).cast("long"))])[F.col("channel")]
-    counted = ~F.col("channel").isin(*[c.name for c in CROSS])
+    bits = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(1 << CHANNELS[n].bit).cast("long"))])[F.col("channel")]
+    cross = F.col("channel").isin(*[c.name for c in CROSS])
+    kept = sum(F.when(F.col("n") <= c, F.lit(1 << 4 * j)).otherwise(F.lit(0)) for j, c in enumerate(COMPOSITE_CAPS))
+    bits = F.when(cross, bits * kept).otherwise(bits)
     probes = keyed.where("src = 'S1'").withColumnRenamed("entity_id", "s1_id").drop("src")
     return (
         probes.join(postings(keyed, names), ["channel", "country", "ktype", "kval"]).groupBy("s1_id", "cand_id")
-        .agg(F.bit_or(bit).alias("mask"), F.sum(counted.cast("long")).alias("hits"))
+        .agg(F.bit_or(bits).alias("mask"), F.sum((~cross).cast("long")).alias("hits"))
     )

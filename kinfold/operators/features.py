@@ -25,26 +25,29 @@ def _meet(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) > 0
 
 
-def _per_record(side: str) -> Column:
-    """Fields that several features read, worked out once for each record."""
-    r = lambda x: F.col(f"{side}.{x}")
-    n, a = r("clean_name"), r("clean_addr")
-    latin, squeezed = T.transliterate(n), T.squeeze(n)
+def feature_fields() -> Column:
+    """A struct of what several features read of one record. Worked out before records meet in pairs, it is made once a record."""
+    n, a = F.col("clean_name"), F.col("clean_addr")
+    latin, squeezed = F.col("latin_name"), T.squeeze(n)
     return F.struct(
-        n.alias("n"), r("legal_name").alias("l"), a.alias("a"), r("name_words").alias("nw"), r("addr_words").alias("aw"), r("postals").alias("postals"), r("digits").alias("digits"),
+        n.alias("n"), F.col("legal_name").alias("l"), a.alias("a"), F.col("name_words").alias("nw"), F.col("addr_words").alias("aw"), "postals", "digits",
         T.ngrams_bare(n).alias("n3"), T.ngrams_bare(n, 4).alias("n4"), T.ngrams_bare(a).alias("a3"), latin.alias("t"), T.ngrams_bare(latin).alias("t3"), squeezed.alias("sq"),
-        T.ngrams_bare(squeezed).alias("sq3"), T.acronym(r("name_words")).alias("acr"), F.transform(r("postals"), lambda p: F.substring(p, 1, 3)).alias("p3"),
-        F.filter(F.transform(T.landmarks(r("addr")), F.lower), lambda x: F.length(x) >= 3).alias("marks"), S.sorted_tokens(n).alias("ns"), S.sorted_tokens(a).alias("as_"), r("entity_id").alias("id"),
+        T.ngrams_bare(squeezed).alias("sq3"), T.acronym(F.col("name_words")).alias("acr"), F.transform("postals", lambda p: F.substring(p, 1, 3)).alias("p3"),
+        F.filter(F.transform(T.landmarks(F.col("addr")), F.lower), lambda x: F.length(x) >= 3).alias("marks"), S.sorted_tokens(n).alias("ns"), S.sorted_tokens(a).alias("as_"), F.col("entity_id").alias("id"),
     )
 
 
+def with_feature_fields(records: DataFrame) -> DataFrame:
+    """Records with a column `fields`, ready to be paired."""
+    return records.withColumn("latin_name", T.transliterate(F.col("clean_name"))).withColumn("fields", feature_fields()).drop("latin_name")
+
+
 def pair_features(pairs: DataFrame, strict: bool = True) -> DataFrame:
-    """Adds the features to pairs with record structs a and b and channel_hits.
+    """Adds the features to pairs with channel_hits and structs a and b, which hold the `fields` of with_feature_fields.
 
     With strict, cand_is_s2 is always 0, as the published models were trained; otherwise it tells S2 from S3.
     """
-    p = pairs.withColumns({"_x": _per_record("a"), "_y": _per_record("b")})
-    x, y = (lambda f: F.col(f"_x.{f}")), (lambda f: F.col(f"_y.{f}"))
+    x, y = (lambda f: F.col(f"a.fields.{f}")), (lambda f: F.col(f"b.fields.{f}"))
     same = lambda f: _flag((x(f) == y(f)) & (x(f) != ""))
     digits, postal3 = _meet(x("digits"), y("digits")), _meet(x("p3"), y("p3"))
     made = {
@@ -60,8 +63,7 @@ def pair_features(pairs: DataFrame, strict: bool = True) -> DataFrame:
         "postal_exact_match": _flag(_meet(x("postals"), y("postals"))), "postal_prefix3_match": _flag(postal3), "digits_overlap_ratio": S.overlap(x("digits"), y("digits")),
         "numeric_post_match": _flag(postal3 & digits), "landmark_match": _flag(_meet(x("marks"), y("marks"))),
     }
-    p = p.withColumns(made).withColumns({
+    return pairs.withColumns(made).withColumns({
         "name_x_addr_jaccard": F.col("name_token_jaccard") * F.col("addr_token_jaccard"), "name_c3_x_addr_c3": F.col("name_c3_jaccard") * F.col("addr_c3_jaccard"),
         "cand_is_s2": F.lit(0.0) if strict else _flag(F.startswith(y("id"), F.lit("S2-"))), "channel_hits": F.col("channel_hits").cast("double"),
     })
-    return p.drop("_x", "_y")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import channels as C
 from ..operators import decide, dense, matcher, metrics, sampling, validate
-from ..operators.features import pair_features
+from ..operators.features import pair_features, with_feature_fields
 from ..sources import tsv
 from . import testdata as D
 
@@ -39,7 +39,7 @@ def spread(channel: str, ktype: str, values: str, when: str = "true") -> str:
 
 
 LIGHT_LIST = f"not list_contains({STOP},w)"
-KR = rf"""kr as (select *, [w for w in legal_words if length(w)>=3 and {LIGHT_LIST}] as nt, postals[1] as p, (string_split(clean_addr,' ')) as caw,
+KR = rf"""kr as (select *, [w for w in legal_words if length(w)>=3 and {LIGHT_LIST}] as nt, postals[1] as p, [w for w in string_split(rom,' ') if length(w)>=4 and {LIGHT_LIST}] as jt, (string_split(clean_addr,' ')) as caw,
   [w for w in digits if length(w)<=5 and w<>'0'] as hd, [w for w in digits if w<>'0'][1] as n0, [w for w in digits if regexp_full_match(w,'[0-9]{{5,6}}')][1] as cp,
   [w for w in name_words if length(w)>=5][1:2] as kw, array_to_string([lower(substr(w,1,1)) for w in name_words if regexp_matches(w,'^[\pL\pN]')],'') as acr0,
   [w for w in string_split(clean_addr,' ') if length(w)>=4 and {LIGHT_LIST}][-1] as place,
@@ -61,6 +61,8 @@ KEY_SQL = {
                              one_key("H", "'num_pair'", "hd[1]||'_'||hd[2]", "not (cp is not null and len(hd)>0) and len(hd)>=2")]),
     "I": " UNION ALL ".join([spread("I", "'landmark'", rf"[lower(w) for w in regexp_extract_all(addr,'(?i)\b(?:near|opp|opposite|behind|beside|adj|adjacent|next\s+to|opp\.)\s+([a-zA-Z0-9]+)',1) if length(w)>=4 and not list_contains({STOP},lower(w))]"),
                              one_key("I", "'addr_edge'", "addr_words4[1]||'_'||addr_words4[-1]", "len(addr_words4)>=4"), one_key("I", "'addr_edge2'", "addr_words4[2]||'_'||addr_words4[-1]", "len(addr_words4)>=4")]),
+    "J": " UNION ALL ".join([one_key("J", "'rom_exact'", "rom", "true"), one_key("J", "'rom_snk'", "substr(replace(rom,' ',''),1,8)", "length(replace(rom,' ',''))>=5"),
+                             one_key("J", "'rom_pair'", "jt[1]||'_'||jt[2]", "len(jt)>=2"), one_key("J", "'rom_word'", "jt[1]", "len(jt)=1")]),
     "K": " UNION ALL ".join([spread("K", "'sqz'", f"[x for x in [case when {squeezed('w')}<>w and length({squeezed('w')})>=4 then {squeezed('w')} end for w in kw] if x is not null]"),
                              spread("K", "case when p is not null then 'del_'||substr(p,1,2) else 'del_rare' end",
                                     "flatten([list_concat([w],[substr(w,1,(i-1)::int)||substr(w,(i+1)::int) for i in range(1,length(w)+1)]) for w in kw if length(w) between 6 and 12 and (p is not null or length(w)>=8)])")]),
@@ -147,11 +149,25 @@ def blk_d_pair(spark, sf_dir):
     return grams.groupBy("entity_id").agg(F.concat(F.min_by("token", "pos"), F.lit("_"), F.max_by("token", "pos")).alias("kval"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
 
 
-@query(None)
+GRAMS4 = "grams4 as (select entity_id, src, country, unnest(g) as gram, generate_subscripts(g,1) as pos from (select *, case when length(legal_name)<2 then [] else [substr(' '||legal_name||' ',i::int,4) for i in range(1,length(legal_name))] end as g from rec))"
+GRAM4_VOCAB = """gdf4 as (select gram as token, count(distinct entity_id) as df from grams4 where src<>'S1' group by 1),
+gvocab4 as (select token, df, ln(((select count(*) from rec where src<>'S1')+1)/(df+1)) as idf from gdf4 where df between 2 and 80)"""
+DKEYS4 = DKEYS.replace("dkeys", "dkeys4").replace("grams", "grams4").replace("gvocab", "gvocab4").replace("'D'", "'D4'")
+
+
+def four_gram_vocabulary(recs: DataFrame) -> DataFrame:
+    return C.vocabulary(recs, T.ngrams(F.col("legal_name"), 4), 2, 80)
+
+
+def relaxed_keys(recs: DataFrame) -> DataFrame:
+    """Two rarest 3-grams and two rarest 4-grams of a record."""
+    three = C.rare_keys(recs, "D", T.ngrams(F.col("legal_name")), gram_vocabulary(recs), 2)
+    return three.unionByName(C.rare_keys(recs, "D4", T.ngrams(F.col("legal_name"), 4), four_gram_vocabulary(recs), 2))
+
+
+@query("SELECT entity_id, channel, kval FROM dkeys UNION ALL SELECT entity_id, channel, kval FROM dkeys4", GRAMS, GRAM_VOCAB, DKEYS, GRAMS4, GRAM4_VOCAB, DKEYS4)
 def blk_d_relaxed(spark, sf_dir):
-    recs = D.noisy_records(spark, sf_dir)
-    four = C.vocabulary(recs, T.ngrams(F.col("legal_name"), 4), 2, 80)
-    return C.rare_keys(recs, "D", T.ngrams(F.col("legal_name")), gram_vocabulary(recs), 2).unionByName(C.rare_keys(recs, "D4", T.ngrams(F.col("legal_name"), 4), four, 2)).select("entity_id", "channel", "kval")
+    return relaxed_keys(D.noisy_records(spark, sf_dir)).select("entity_id", "channel", "kval")
 
 
 @query("SELECT entity_id, channel, kval FROM (%s)" % " UNION ALL ".join(KEY_SQL[n] for n in "ACEFG"), KR)
@@ -161,7 +177,7 @@ def blk_audit(spark, sf_dir):
 
 # ---- Postings, candidate pairs, unions --------------------------------------------------------------------------
 
-LEXICAL = ["A", "C", "E", "F", "G", "H", "I", "K", "L"]
+LEXICAL = ["A", "C", "E", "F", "G", "H", "I", "J", "K", "L"]
 CROSS = ["H1", "H2", "H3", "H4"]
 NAMES = [*LEXICAL, *CROSS]
 
@@ -185,8 +201,9 @@ BITS = "(case channel " + " ".join(f"when '{n}' then {1 << C.CHANNELS[n].bit}" f
 WHOLE = "channel in ('H1','H2','H3','H4')"
 ALL_KEYS = "keys as (" + " UNION ALL ".join(KEY_SQL[n] for n in NAMES) + " UNION ALL SELECT * FROM bkeys UNION ALL SELECT * FROM dkeys)"
 RANKED = f"""ranked as (select *, row_number() over (partition by channel,country,ktype,kval order by src, entity_id) as pos, count(*) over (partition by channel,country,ktype,kval) as len, {CAPS} as cap from keys where src<>'S1'),
-post as (select channel,country,ktype,kval,entity_id as cand_id, pos from ranked where (not {WHOLE} and pos<=cap) or ({WHOLE} and len<=cap))"""
-PAIRS = f"""pairs as (select k.entity_id as s1_id, cand_id, bit_or({BITS.replace('channel', 'k.channel')}::bigint) as mask, sum(case when k.{WHOLE} then 0 else 1 end)::bigint as hits
+post as (select channel,country,ktype,kval,entity_id as cand_id, pos, len from ranked where (not {WHOLE} and pos<=cap) or ({WHOLE} and len<=cap))"""
+MET = "(" + " + ".join(f"(len<={c})::int*{1 << 4 * j}" for j, c in enumerate(C.COMPOSITE_CAPS)) + ")"
+PAIRS = f"""pairs as (select k.entity_id as s1_id, cand_id, bit_or(({BITS.replace('channel', 'k.channel')}*case when k.{WHOLE} then {MET} else 1 end)::bigint) as mask, sum(case when k.{WHOLE} then 0 else 1 end)::bigint as hits
   from keys k join post p on k.channel=p.channel and k.country=p.country and k.ktype=p.ktype and k.kval=p.kval where k.src='S1' group by 1,2)"""
 BASE = (KR, VOCAB, BKEYS, GRAMS, GRAM_VOCAB, DKEYS, ALL_KEYS, RANKED)
 PAIR_BASE = (*BASE, PAIRS)
@@ -194,7 +211,7 @@ PAIR_BASE = (*BASE, PAIRS)
 
 @query("SELECT channel, country, ktype, kval, cand_id FROM post", *BASE)
 def idx_postings(spark, sf_dir):
-    return C.postings(all_keys(spark, sf_dir), EVERY)
+    return C.postings(all_keys(spark, sf_dir), EVERY).drop("n")
 
 
 @query("SELECT channel, country, ktype, kval FROM ranked WHERE channel in ('H1','H2','H3','H4') GROUP BY ALL HAVING count(*)>150", *BASE)
@@ -202,10 +219,14 @@ def idx_overflow_drop(spark, sf_dir):
     return all_keys(spark, sf_dir, CROSS, False).where("src <> 'S1'").groupBy("channel", "country", "ktype", "kval").count().where("count > 150").drop("count")
 
 
-@query("SELECT channel, count(*) AS keys, sum((n<=5)::int)::bigint AS kept_5, sum((n>5)::int)::bigint AS pruned_5 FROM (SELECT channel,country,ktype,kval,count(*) AS n FROM ranked WHERE channel in ('H1','H2','H3','H4') GROUP BY ALL) GROUP BY 1", *BASE)
+_CAPS = (5, *C.COMPOSITE_CAPS)
+
+
+@query(f"SELECT channel, cap, count(*) AS keys, sum((n<=cap)::int)::bigint AS kept, sum((n>cap)::int)::bigint AS pruned FROM (SELECT channel,country,ktype,kval,count(*) AS n FROM ranked WHERE {WHOLE} GROUP BY ALL), unnest({list(_CAPS)}) AS u(cap) GROUP BY 1,2", *BASE)
 def idx_overflow_stats(spark, sf_dir):
     sizes = all_keys(spark, sf_dir, CROSS, False).where("src <> 'S1'").groupBy("channel", "country", "ktype", "kval").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("channel").agg(F.count(F.lit(1)).alias("keys"), F.sum((F.col("n") <= 5).cast("long")).alias("kept_5"), F.sum((F.col("n") > 5).cast("long")).alias("pruned_5"))
+    tried = sizes.select("channel", "n", F.explode(F.array(*map(F.lit, _CAPS))).alias("cap"))
+    return tried.groupBy("channel", "cap").agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") <= F.col("cap")).alias("kept"), F.count_if(F.col("n") > F.col("cap")).alias("pruned"))
 
 
 def pair_table(spark, sf_dir) -> DataFrame:
@@ -222,7 +243,8 @@ def join_capped_prefix(spark, sf_dir):
     return pair_table(spark, sf_dir).where(F.col("mask").bitwiseAND(1) != 0).select("s1_id", "cand_id", "hits")
 
 
-CROSS_MASK = sum(1 << C.CHANNELS[n].bit for n in CROSS)
+mask_of = C.mask_of
+CROSS_MASK = mask_of([f"{n}@300" for n in CROSS])
 
 
 @query(f"SELECT s1_id, cand_id FROM pairs WHERE mask & {CROSS_MASK} <> 0", *PAIR_BASE)
@@ -230,13 +252,16 @@ def join_freq_bounded(spark, sf_dir):
     return C.candidate_pairs(all_keys(spark, sf_dir, CROSS, False), CROSS).select("s1_id", "cand_id")
 
 
-def mask_of(names) -> int:
-    return sum(1 << C.CHANNELS[n].bit for n in names)
-
-
-NESTED = {"A": "A", "A+B": "AB", "A+B+C": "ABC", "A-D": "ABCD", "A-E": "ABCDE", "A-F": "ABCDEF", "A-G": "ABCDEFG", "H": "H", "I": "I", "K": "K", "L": "L", "A-H": "ABCDEFGH", "A-I": "ABCDEFGHI",
-          "A-K": "ABCDEFGHIK", "A-L": "ABCDEFGHIKL"}
-UNIONS = {k: mask_of(v) for k, v in NESTED.items()} | {n: mask_of([n]) for n in CROSS} | {f"A-L+{n}": mask_of([*"ABCDEFGHIKL", n]) for n in CROSS} | {"A-L+H1-4": mask_of([*"ABCDEFGHIKL", *CROSS])}
+# Names of the 33 candidate sets, and the channels that each unites.
+ALL_LEXICAL = "ABCDEFGHIJKL"
+UNIONS = {
+    "A": "A", "A+B": "AB", "A+B+C": "ABC", "A+B+C+D": "ABCD", "A+B+C+D+E": "ABCDE", "A+B+C+D+E+F": "ABCDEF", "A+B+C+D+E+F+G": "ABCDEFG",
+    "Channel_H_Standalone": "H", "Channel_I_Standalone": "I", "A-G+H": "ABCDEFGH", "A-G+H+I": "ABCDEFGHI", "Channel_J_Standalone": "J", "A-G+H+I+J": "ABCDEFGHIJ",
+    "Channel_K_Standalone": "K", "A-G+H+I+J+K": "ABCDEFGHIJK", "Channel_L_Standalone": "L", "A-G+H+I+J+K+L": ALL_LEXICAL,
+}
+UNIONS |= {f"H{n}_Standalone@150": [f"H{n}@150"] for n in (1, 2, 3, 4)} | {f"A-L+H{n}@150": [*ALL_LEXICAL, f"H{n}@150"] for n in (1, 2, 3, 4)}
+UNIONS |= {f"A-L+{k}@{cap}": [*ALL_LEXICAL, *(f"H{n}@{cap}" for n in v)] for cap in C.COMPOSITE_CAPS for k, v in {"H1-4": (1, 2, 3, 4), "H1+H4": (1, 4), "H1+H2+H4": (1, 2, 4), "H1+H3+H4": (1, 3, 4)}.items()}
+UNIONS = {k: mask_of(v) for k, v in UNIONS.items()}
 UNION_V1 = {k: mask_of(v) for k, v in {"A": "A", "B": "B", "C": "C", "D": "D", "A+B": "AB", "A+B+C": "ABC", "A+B+C+D": "ABCD"}.items()}
 UNION_MATCHER = {k: mask_of(v) for k, v in {"A": "A", "A+B": "AB", "A+B+C": "ABC", "A-E": "ABCDE", "A-G": "ABCDEFG"}.items()}
 
@@ -286,7 +311,7 @@ def volume(counts: DataFrame) -> DataFrame:
 for _name, _unions in (("union_nested", UNIONS), ("union_v1", UNION_V1), ("union_matcher5", UNION_MATCHER)):
     QUERIES[_name] = lambda spark, sf_dir, u=_unions: coverage(union_counts(spark, sf_dir, u))
     SQL[_name] = D.sql(f"SELECT union_name, {COVERAGE} FROM uc GROUP BY 1", *PAIR_BASE, unions_sql(_unions))
-SMALL = {k: UNIONS[k] for k in ("A", "A-G", "A-L", "A-L+H1-4")}
+SMALL = {k: UNIONS[k] for k in ("A", "A+B+C+D+E+F+G", "A-G+H+I+J+K+L", "A-L+H1-4@150", "A-L+H1-4@300")}
 QUERIES["agg_coverage"] = lambda spark, sf_dir: coverage(union_counts(spark, sf_dir, SMALL))
 SQL["agg_coverage"] = D.sql(f"SELECT union_name, {COVERAGE} FROM uc GROUP BY 1", *PAIR_BASE, unions_sql(SMALL))
 QUERIES["agg_volume"] = lambda spark, sf_dir: volume(union_counts(spark, sf_dir, SMALL))
@@ -295,9 +320,13 @@ SQL["agg_volume"] = D.sql(f"SELECT union_name, {VOLUME} FROM uc GROUP BY 1", *PA
 
 @query("SELECT union_name, (list(n_cand ORDER BY n_cand))[(count(*)*0.5)::int+1] AS median, (list(n_cand ORDER BY n_cand))[floor(count(*)*0.95)::int+1] AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY union_name ORDER BY s1_id) AS rn FROM uc) WHERE rn%20=0 GROUP BY 1".replace("(count(*)*0.5)::int", "floor(count(*)*0.5)::int"), *PAIR_BASE, unions_sql(SMALL))
 def agg_volume_nearest(spark, sf_dir):
-    ranked = union_counts(spark, sf_dir, SMALL).withColumn("rn", F.row_number().over(Window.partitionBy("union_name").orderBy("s1_id"))).where("rn % 20 = 0")
-    return ranked.groupBy("union_name").agg(F.array_sort(F.collect_list("n_cand")).alias("v")).select(
-        "union_name", *[F.get("v", F.floor(F.size("v") * q).cast("int")).alias(a) for a, q in (("median", 0.5), ("p95", 0.95))])
+    """The value at place floor(n * q) of every twentieth entity's number of candidates, found in a histogram of them."""
+    every20th = sampling.ranked(entities(spark, sf_dir).select("s1_id"), "s1_id").where("rank % 20 = 0").select("s1_id")
+    sizes = union_counts(spark, sf_dir, SMALL).join(every20th, "s1_id", "left_semi").groupBy("union_name", "n_cand").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("union_name")
+    upto, total = F.sum("n").over(by.orderBy("n_cand")), F.sum("n").over(by)
+    found = [F.min(F.when(F.col("upto") > F.floor(F.col("total") * q), F.col("n_cand"))).alias(a) for a, q in (("median", 0.5), ("p95", 0.95))]
+    return sizes.withColumns({"upto": upto, "total": total}).groupBy("union_name").agg(*found)
 
 
 @query("SELECT union_name, round(avg(case when n_true=0 then 1.0 when n_rec=0 then 0.0 else 1.25*(n_rec/n_true)/(0.25+n_rec/n_true) end),6) AS oracle_f05 FROM uc GROUP BY 1", *PAIR_BASE, unions_sql(SMALL))
@@ -348,7 +377,8 @@ def agg_share_breakdown(spark, sf_dir):
     return r.groupBy("src", "country").agg(F.sum("found").alias("recovered")).select("src", "country", "recovered", F.round(F.col("recovered") / total, 6).alias("share"))
 
 
-MISSED = f"missed as (select s1_id, cand_id, country, src, n_true from rc where mask & {UNIONS['A-L']} = 0)"
+LEXICAL_MASK = UNIONS["A-G+H+I+J+K+L"]
+MISSED = f"missed as (select s1_id, cand_id, country, src, n_true from rc where mask & {LEXICAL_MASK} = 0)"
 
 
 @query("SELECT t.s1_id, t.cand_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.s1_id=t.s1_id AND p.cand_id=t.cand_id AND p.mask & 1 <> 0)", *PAIR_BASE)
@@ -360,7 +390,7 @@ def join_left_anti(spark, sf_dir):
 def missed_pairs(spark, sf_dir) -> DataFrame:
     """Missed links with both records."""
     recs = D.noisy_records(spark, sf_dir)
-    m = recovered(spark, sf_dir).where(F.col("mask").bitwiseAND(F.lit(UNIONS["A-L"]).cast("long")) == 0)
+    m = recovered(spark, sf_dir).where(F.col("mask").bitwiseAND(F.lit(LEXICAL_MASK).cast("long")) == 0)
     a, b = recs.select(F.col("entity_id").alias("s1_id"), F.struct("*").alias("a")), recs.select(F.col("entity_id").alias("cand_id"), F.struct("*").alias("b"))
     return m.join(a, "s1_id").join(b, "cand_id")
 
@@ -421,7 +451,7 @@ SQL["topk_char_tfidf"] = D.sql(_TOP.format(t="grams", v="gvocab", c="gram", n=6)
 # ---- Exact joins ------------------------------------------------------------------------------------------------
 
 MODES = {
-    "raw_name": ("name",), "base_name": ("lower(name)",), "clean_name": ("clean_name",), "legal_name": ("legal_name",), "raw_address": ("addr",), "clean_address": ("clean_addr",),
+    "raw_name": ("name",), "base_name": ("base_name",), "clean_name": ("clean_name",), "legal_name": ("legal_name",), "raw_address": ("addr",), "clean_address": ("clean_addr",),
     "clean_pair": ("clean_name", "clean_addr"), "legal_pair": ("legal_name", "clean_addr"),
 }
 
@@ -558,8 +588,8 @@ def smp_random_neg(spark, sf_dir):
 
 
 def featured(spark, sf_dir, pairs: DataFrame) -> DataFrame:
-    recs = D.noisy_records(spark, sf_dir)
-    a, b = recs.select(F.col("entity_id").alias("s1_id"), F.struct("*").alias("a")), recs.select(F.col("entity_id").alias("cand_id"), F.struct("*").alias("b"))
+    recs = with_feature_fields(D.noisy_records(spark, sf_dir)).select("entity_id", "fields")
+    a, b = recs.select(F.col("entity_id").alias("s1_id"), F.struct("fields").alias("a")), recs.select(F.col("entity_id").alias("cand_id"), F.struct("fields").alias("b"))
     return pair_features(pairs.join(a, "s1_id").join(b, "cand_id").withColumn("channel_hits", F.col("hits"))).drop("a", "b")
 
 
@@ -697,7 +727,7 @@ def smp_uniform(spark, sf_dir):
 
 @query("SELECT s1_id, cand_id FROM missed ORDER BY md5('42|'||s1_id||'|'||cand_id), s1_id, cand_id LIMIT 100", *PAIR_BASE, RECOVERED, MISSED)
 def smp_reservoir(spark, sf_dir):
-    m = recovered(spark, sf_dir).where(F.col("mask").bitwiseAND(F.lit(UNIONS["A-L"]).cast("long")) == 0).select("s1_id", "cand_id")
+    m = recovered(spark, sf_dir).where(F.col("mask").bitwiseAND(F.lit(LEXICAL_MASK).cast("long")) == 0).select("s1_id", "cand_id")
     return sampling.bottom_k(m, 100, "42", "s1_id", "cand_id")
 
 

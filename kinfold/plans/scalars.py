@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..functions.values import ADDRESS_FORMS
-from ..operators.features import FEATURES, pair_features
+from ..operators.features import FEATURES, pair_features, with_feature_fields
 from . import testdata as D
 
 QUERIES: dict = {}
@@ -89,9 +89,10 @@ SQL["fn_classify_char"] = r"""SELECT case when c ~ '[\x00-\x7F]' then 'ascii' wh
 FROM (SELECT unnest(string_split(text,'')) AS c FROM documents) GROUP BY 1"""
 
 
-def linked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth pairs of records with all their fields, s1 and cand."""
+def linked_pairs(spark: SparkSession, sf_dir: str, fields: bool = False) -> DataFrame:
+    """Truth pairs of records with all their columns, a and b, and perhaps the fields of features."""
     recs = D.noisy_records(spark, sf_dir)
+    recs = with_feature_fields(recs).select("entity_id", "src", "truth_key", "fields") if fields else recs
     a, b = recs.where("src = 'S1'").select(F.struct("*").alias("a")), recs.where("src <> 'S1'").select(F.struct("*").alias("b"))
     return a.join(b, F.col("a.truth_key") == F.col("b.truth_key")).select(F.col("a.entity_id").alias("s1_id"), F.col("b.entity_id").alias("cand_id"), "a", "b")
 
@@ -159,7 +160,7 @@ similar("sim_jaccard_loose", lambda A, B: S.jaccard_loose(A("name_tokens"), B("n
 
 
 def feat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_features(linked_pairs(spark, sf_dir).withColumn("channel_hits", F.lit(1))).select("s1_id", "cand_id", *[F.round(F.col(f).cast("double"), 9).alias(f) for f in FEATURES])
+    return pair_features(linked_pairs(spark, sf_dir, True).withColumn("channel_hits", F.lit(1))).select("s1_id", "cand_id", *[F.round(F.col(f).cast("double"), 9).alias(f) for f in FEATURES])
 
 
 def _feature(f: str):
