@@ -67,3 +67,36 @@ def pair_features(pairs: DataFrame, strict: bool = True) -> DataFrame:
         "name_x_addr_jaccard": F.col("name_token_jaccard") * F.col("addr_token_jaccard"), "name_c3_x_addr_c3": F.col("name_c3_jaccard") * F.col("addr_c3_jaccard"),
         "cand_is_s2": F.lit(0.0) if strict else _flag(F.startswith(y("id"), F.lit("S2-"))), "channel_hits": F.col("channel_hits").cast("double"),
     })
+
+
+# The order of the 19 features of earlier models; the first two are the same by definition.
+LEGACY_FEATURES = (
+    "name_exact_match name_clean_exact name_token_jaccard name_token_dice name_token_overlap name_c3_jaccard name_c4_jaccard name_len_diff_ratio name_prefix_ratio"
+    " addr_exact_match addr_token_jaccard addr_token_dice addr_token_overlap addr_c3_jaccard addr_len_diff_ratio postal_exact_match digits_overlap_ratio name_x_addr_jaccard"
+    " name_c3_x_addr_c3"
+).split()
+
+
+def with_legacy_fields(records: DataFrame) -> DataFrame:
+    """Records with a column `fields` of what the earlier features read: legal names, and words of at least three characters."""
+    n, a = F.col("legal_name"), F.col("clean_addr")
+    return records.withColumn("fields", F.struct(
+        n.alias("n"), a.alias("a"), T.name_tokens(n).alias("nw"), T.name_tokens(a).alias("aw"), T.postals(a).alias("postals"), "digits",
+        T.ngrams_bare(n).alias("n3"), T.ngrams_bare(n, 4).alias("n4"), T.ngrams_bare(a).alias("a3"),
+    ))
+
+
+def legacy_pair_features(pairs: DataFrame) -> DataFrame:
+    """Adds the 19 features to pairs with structs a and b, which hold the `fields` of with_legacy_fields."""
+    x, y = (lambda f: F.col(f"a.fields.{f}")), (lambda f: F.col(f"b.fields.{f}"))
+    same = lambda f: _flag((x(f) == y(f)) & (x(f) != ""))
+    sets = lambda prefix, f: {f"{prefix}_token_{k}": g(x(f), y(f)) for k, g in (("jaccard", S.jaccard), ("dice", S.dice), ("overlap", S.overlap))}
+    made = {
+        "name_exact_match": same("n"), "name_clean_exact": same("n"), **sets("name", "nw"), "name_c3_jaccard": S.ngram_jaccard(x("n"), y("n"), x("n3"), y("n3")),
+        "name_c4_jaccard": S.ngram_jaccard(x("n"), y("n"), x("n4"), y("n4")), "name_len_diff_ratio": S.length_difference(x("n"), y("n")),
+        "name_prefix_ratio": S.prefix_ratio(x("n"), y("n"), T.prefix_length(x("n"), y("n"))), "addr_exact_match": same("a"), **sets("addr", "aw"),
+        "addr_c3_jaccard": S.ngram_jaccard(x("a"), y("a"), x("a3"), y("a3")), "addr_len_diff_ratio": S.length_difference(x("a"), y("a")),
+        "postal_exact_match": _flag(_meet(x("postals"), y("postals"))), "digits_overlap_ratio": S.overlap(x("digits"), y("digits")),
+    }
+    joint = {"name_x_addr_jaccard": F.col("name_token_jaccard") * F.col("addr_token_jaccard"), "name_c3_x_addr_c3": F.col("name_c3_jaccard") * F.col("addr_c3_jaccard")}
+    return pairs.withColumns(made).withColumns(joint)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -57,3 +58,53 @@ def lockstep(source: DataFrame, candidates: DataFrame, matches: DataFrame) -> Da
     met = source.select("pos", F.col("id").alias("s")).join(candidates.select("pos", F.col("id").alias("c"), F.col("ids").alias("cs")), "pos", "full").join(matches.select("pos", F.col("id").alias("m"), F.col("ids").alias("ms")), "pos", "full")
     wrong = ~(F.col("s").eqNullSafe(F.col("c")) & F.col("s").eqNullSafe(F.col("m"))) | (F.size(F.array_except("ms", "cs")) > 0)
     return met.where(F.coalesce(wrong, F.lit(True))).select("pos", "s", "c", "m")
+
+
+def examples(parsed: DataFrame, required: DataFrame, known: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """issue, n and the first `most` ids of each broken rule, joined by commas; n is 0 for rules that hold. A file fails if any n is above 0."""
+    good = parsed.where("not malformed")
+    ids = F.col("ids")
+    rules = {
+        "malformed": F.col("malformed"), "intra_duplicate": ~F.col("malformed") & (F.size(ids) != F.size(F.array_distinct(ids))),
+        "self_match": ~F.col("malformed") & F.exists(ids, lambda x: F.startswith(x, F.lit("S1-"))), "bad_prefix": ~F.col("malformed") & F.exists(ids, lambda x: ~x.rlike("^S[123]-")),
+    }
+    broken = parsed.select("id", F.explode(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda k: k.isNotNull())).alias("issue"))
+    tag = lambda name, df: df.select("id", F.lit(name).alias("issue"))
+    broken = (
+        broken.unionByName(tag("duplicate_row", good.groupBy("id").count().where("count > 1")))
+        .unionByName(tag("missing", required.select("id").join(good.select("id"), "id", "left_anti")))
+        .unionByName(tag("extra", good.select("id").distinct().join(required.select("id"), "id", "left_anti")))
+    )
+    names = [*rules, "duplicate_row", "missing", "extra"]
+    if known is not None:
+        broken = broken.unionByName(tag("unknown", good.select(F.explode("ids").alias("id")).distinct().join(known.select("id"), "id", "left_anti")))
+        names.append("unknown")
+    # Every task keeps its first few ids of a rule before anything is shuffled.
+    first = broken.withColumn("r", F.row_number().over(Window.partitionBy("issue").orderBy("id"))).where(F.col("r") <= most)
+    listed = first.groupBy("issue").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    counts = broken.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+    rules_of = parsed.sparkSession.createDataFrame([(n,) for n in names], "issue string")
+    return rules_of.join(counts, "issue", "left").join(listed, "issue", "left").select("issue", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("ids", F.lit("")).alias("ids"))
+
+
+def strict(source: DataFrame, candidates: DataFrame, matches: DataFrame) -> DataFrame:
+    """pos, problem: the first rule that each row of three files of lines (pos, value) breaks, read in step.
+
+    Rows have 4, 2 and 2 columns; all three files have the same rows and ids at the same places; lists repeat no id and hold only S2 and S3
+    records; matches are among the candidates.
+    """
+    def read(df: DataFrame, name: str) -> DataFrame:
+        fields = F.split("value", "\t")
+        ids = F.when(F.coalesce(F.get(fields, F.lit(1)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(fields, F.lit(1)), ","))
+        return df.select("pos", F.struct(F.get(fields, F.lit(0)).alias("id"), F.size(fields).alias("n"), ids.alias("ids")).alias(name))
+
+    met = read(source, "s").join(read(candidates, "c"), "pos", "full").join(read(matches, "m"), "pos", "full")
+    repeats = lambda x: F.size(x) != F.size(F.array_distinct(x))
+    outside = lambda x: F.exists(x, lambda v: ~v.rlike("^S[23]-"))
+    c, m = F.col("c.ids"), F.col("m.ids")
+    problem = (
+        F.when(F.col("s").isNull() | F.col("c").isNull() | F.col("m").isNull(), "row_count").when((F.col("s.n") != 4) | (F.col("c.n") != 2) | (F.col("m.n") != 2), "columns")
+        .when((F.col("s.id") != F.col("c.id")) | (F.col("s.id") != F.col("m.id")), "id_order").when(repeats(c) | repeats(m), "duplicate")
+        .when(outside(c) | outside(m), "prefix").when(F.size(F.array_except(m, c)) > 0, "subset")
+    )
+    return met.select("pos", problem.alias("problem")).where("problem is not null")

@@ -431,21 +431,106 @@ def agg_taxonomy(spark, sf_dir):
     return missed_pairs(spark, sf_dir).groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-for _k in ("topk_word_tfidf", "topk_char_tfidf"):
-    _words = _k == "topk_word_tfidf"
+MOST = 30  # postings of a token that a probe reads
 
-    def _topk(spark, sf_dir, words=_words):
-        recs = D.noisy_records(spark, sf_dir)
-        tokens, vocab, top = (F.col("name_tokens"), name_vocabulary(recs), 5) if words else (T.ngrams(F.col("legal_name")), gram_vocabulary(recs), 6)
-        first = C.rare_keys(recs.where("src = 'S1'"), "T", tokens, vocab, top).select(F.col("entity_id").alias("s1_id"), "country", F.col("kval").alias("token")).distinct()
-        held = recs.where("src <> 'S1'").select(F.col("entity_id").alias("cand_id"), "country", F.explode(F.array_distinct(tokens)).alias("token"))
-        scores = first.join(held, ["country", "token"]).join(vocab.select("token", "idf"), "token").groupBy("s1_id", "cand_id").agg(F.round(F.sum("idf"), 6).alias("score"))
-        return scores.withColumn("rank", F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id"))).where("rank <= 10")
 
-    QUERIES[_k] = _topk
-_TOP = "SELECT s1_id, cand_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS rank FROM (SELECT f.entity_id AS s1_id, h.entity_id AS cand_id, round(sum(f.idf),6) AS score FROM (SELECT DISTINCT entity_id, country, token, idf FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY round(idf,12) DESC, pos) AS r FROM {t} JOIN {v} ON {c}=token WHERE src='S1') WHERE r<={n}) f JOIN (SELECT DISTINCT entity_id, country, {c} AS token FROM {t} WHERE src<>'S1') h USING (country, token) GROUP BY 1,2)) WHERE rank<=10"
-SQL["topk_word_tfidf"] = D.sql(_TOP.format(t="toks2", v="vocab", c="tk", n=5), VOCAB, "toks2 as (select entity_id, src, country, unnest(name_tokens) as tk, generate_subscripts(name_tokens,1) as pos from rec)")
-SQL["topk_char_tfidf"] = D.sql(_TOP.format(t="grams", v="gvocab", c="gram", n=6), GRAMS, GRAM_VOCAB)
+def rarest(recs: DataFrame, tokens, vocab: DataFrame, top: int) -> DataFrame:
+    """The records of S1 with their `top` rarest tokens and the weight of each; a token that a record repeats counts as often."""
+    w = Window.partitionBy("entity_id").orderBy(F.desc("idf"), "pos")
+    spread = recs.where("src = 'S1'").select(F.col("entity_id").alias("s1_id"), "entity_id", "country", F.posexplode(tokens).alias("pos", "token")).join(vocab.select("token", "idf"), "token")
+    return spread.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("s1_id", "country", "token", "idf")
+
+
+def bounded_postings(recs: DataFrame, tokens, most: int = MOST) -> DataFrame:
+    """The first `most` candidate records of every token within a country; a record that repeats a token takes several places."""
+    held = recs.where("src <> 'S1'").select(F.col("entity_id").alias("cand_id"), "src", "country", F.posexplode(tokens).alias("at", "token"))
+    return held.withColumn("r", F.row_number().over(Window.partitionBy("country", "token").orderBy("src", "cand_id", "at"))).where(F.col("r") <= most).select("country", "token", "cand_id")
+
+
+def weighted(recs: DataFrame, parts) -> DataFrame:
+    """s1_id, cand_id, score, rank: summed weights of shared rare tokens; parts are (tokens, vocabulary, top, factor)."""
+    met = None
+    for tokens, vocab, top, factor in parts:
+        part = rarest(recs, tokens, vocab, top).join(bounded_postings(recs, tokens), ["country", "token"]).select("s1_id", "cand_id", (F.col("idf") * factor).alias("w"))
+        met = part if met is None else met.unionByName(part)
+    scores = met.groupBy("s1_id", "cand_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id")))
+
+
+def word_scores(recs: DataFrame) -> DataFrame:
+    return weighted(recs, [(F.col("name_tokens"), name_vocabulary(recs), 5, 1.0)])
+
+
+def char_scores(recs: DataFrame) -> DataFrame:
+    three, four = T.ngrams(F.col("legal_name")), T.ngrams(F.col("legal_name"), 4)
+    return weighted(recs, [(three, gram_vocabulary(recs), 6, 1.0), (four, four_gram_vocabulary(recs), 4, 1.5)])
+
+
+def _met_sql(tokens: str, vocab: str, column: str, top: int, factor: float) -> str:
+    return f"""select f.entity_id as s1_id, h.entity_id as cand_id, f.idf*{factor} as w
+ from (select * from (select x.*, idf, row_number() over (partition by entity_id order by round(idf,12) desc, pos) as r from {tokens} x join {vocab} on {column}=token where src='S1') where r<={top}) f
+ join (select * from (select *, row_number() over (partition by country, {column} order by src, entity_id, pos) as r from {tokens} where src<>'S1') where r<={MOST}) h on f.country=h.country and f.{column}=h.{column}"""
+
+
+TOKS2 = "toks2 as (select entity_id, src, country, unnest(name_tokens) as tk, generate_subscripts(name_tokens,1) as pos from rec)"
+SCORES = "select *, row_number() over (partition by s1_id order by score desc, cand_id) as rank from (select s1_id, cand_id, round(sum(w),6) as score from ({}) group by 1,2)"
+WORD_SCORES = f"wsc as ({SCORES.format(_met_sql('toks2', 'vocab', 'tk', 5, 1.0))})"
+CHAR_SCORES = f"csc as ({SCORES.format(_met_sql('grams', 'gvocab', 'gram', 6, 1.0) + ' union all ' + _met_sql('grams4', 'gvocab4', 'gram', 4, 1.5))})"
+
+
+@query("SELECT * FROM wsc WHERE rank<=20", VOCAB, TOKS2, WORD_SCORES)
+def topk_word_tfidf(spark, sf_dir):
+    return word_scores(D.noisy_records(spark, sf_dir)).where("rank <= 20")
+
+
+@query("SELECT * FROM csc WHERE rank<=50", GRAMS, GRAM_VOCAB, GRAMS4, GRAM4_VOCAB, CHAR_SCORES)
+def topk_char_tfidf(spark, sf_dir):
+    return char_scores(D.noisy_records(spark, sf_dir)).where("rank <= 50")
+
+
+# Names of the 14 sets of the frontier; A, B and C, relaxed grams (D), word scores and character scores up to a rank.
+FRONTIER = {
+    "Baseline_A_B_C": ("abc",), "Channel_D_RelaxedCharNgram": ("d",), "Channel_E_Word_TFIDF_Top10": ("word10",), "Channel_E_Word_TFIDF_Top20": ("word20",),
+    "Channel_F_Char_TFIDF_Top5": ("char5",), "Channel_F_Char_TFIDF_Top10": ("char10",), "Channel_F_Char_TFIDF_Top20": ("char20",), "Channel_F_Char_TFIDF_Top50": ("char50",),
+    "Union_ABC_plus_RelaxedNgram": ("abc", "d"), "Union_ABC_plus_CharTFIDF_Top10": ("abc", "char10"), "Union_ABC_plus_CharTFIDF_Top20": ("abc", "char20"),
+    "Union_ABC_plus_CharTFIDF_Top50": ("abc", "char50"), "Full_Frontier_ABC_Ngram_CharTFIDF_Top20": ("abc", "d", "char20"), "Full_Frontier_ABC_Ngram_CharTFIDF_Top50": ("abc", "d", "char50"),
+}
+FLAGS = {"abc": "mask & 7 <> 0", "d": "relaxed", "word10": "wr <= 10", "word20": "wr <= 20", **{f"char{k}": f"cr <= {k}" for k in (5, 10, 20, 50)}}
+_FRONTIER_SQL = f"""rk as (select distinct k.entity_id as s1_id, p.entity_id as cand_id from (select * from dkeys union all select * from dkeys4) k
+ join (select *, row_number() over (partition by channel,country,kval order by src, entity_id, pos) as r from
+   (select entity_id, src, country, 'D' as channel, gram as kval, pos from grams where src<>'S1' union all select entity_id, src, country, 'D4', gram, pos from grams4 where src<>'S1')) p
+ on k.channel=p.channel and k.country=p.country and k.kval=p.kval where k.src='S1' and r<=15),
+fr as (select s1_id, cand_id, bit_or(mask) as mask, bool_or(relaxed) as relaxed, min(wr) as wr, min(cr) as cr from (
+  select s1_id, cand_id, mask, false as relaxed, null::bigint as wr, null::bigint as cr from pairs union all select s1_id, cand_id, 0, true, null, null from rk
+  union all select s1_id, cand_id, 0, false, rank, null from wsc where rank<=20 union all select s1_id, cand_id, 0, false, null, rank from csc where rank<=50) group by 1,2),
+ft as (select fr.*, t.cand_id is not null as t from fr left join truth t using (s1_id, cand_id))"""
+
+
+@query(" UNION ALL ".join(f"SELECT '{u}' AS union_name, count(*) FILTER (WHERE {w}) AS candidates, count(*) FILTER (WHERE t AND ({w})) AS recovered, (SELECT count(*) FROM rec WHERE src='S1') - count(DISTINCT s1_id) FILTER (WHERE {w}) AS without FROM ft"
+                          for u, parts in FRONTIER.items() for w in [" or ".join(f"coalesce({FLAGS[x]}, false)" for x in parts)]),
+       *PAIR_BASE, GRAMS4, GRAM4_VOCAB, DKEYS4, TOKS2, WORD_SCORES, CHAR_SCORES, _FRONTIER_SQL)
+def union_v2(spark, sf_dir):
+    """Candidates, recovered links and entities without candidates of 14 sets: one table of pairs with flags, one aggregation."""
+    recs = D.noisy_records(spark, sf_dir)
+    none = F.lit(None).cast("int")
+    held = None
+    for channel, n in (("D", 3), ("D4", 4)):
+        part = bounded_postings(recs, T.ngrams(F.col("legal_name"), n), 15).select("country", F.lit(channel).alias("channel"), F.col("token").alias("kval"), "cand_id")
+        held = part if held is None else held.unionByName(part)
+    relaxed = relaxed_keys(recs).where("src = 'S1'").select(F.col("entity_id").alias("s1_id"), "country", "channel", "kval").join(held, ["country", "channel", "kval"]).select("s1_id", "cand_id").distinct()
+
+    def part(df, mask=F.lit(0).cast("long"), d=F.lit(False), wr=none, cr=none):
+        return df.select("s1_id", "cand_id", mask.alias("mask"), d.alias("relaxed"), wr.alias("wr"), cr.alias("cr"))
+
+    every = part(pair_table(spark, sf_dir), mask=F.col("mask")).unionByName(part(relaxed, d=F.lit(True)))
+    every = every.unionByName(part(topk_word_tfidf(spark, sf_dir), wr=F.col("rank"))).unionByName(part(topk_char_tfidf(spark, sf_dir), cr=F.col("rank")))
+    merged = every.groupBy("s1_id", "cand_id").agg(F.bit_or("mask").alias("mask"), F.bool_or("relaxed").alias("relaxed"), F.min("wr").alias("wr"), F.min("cr").alias("cr"))
+    marked = merged.join(D.truth(recs).withColumn("t", F.lit(True)), ["s1_id", "cand_id"], "left")
+    inside = {u: F.coalesce(F.expr(" or ".join(f"coalesce({FLAGS[x]}, false)" for x in parts)), F.lit(False)) for u, parts in FRONTIER.items()}
+    per = marked.groupBy("s1_id").agg(*[c for i, w in enumerate(inside.values()) for c in (F.count_if(w).alias(f"c{i}"), F.count_if(w & F.col("t").isNotNull()).alias(f"r{i}"))])
+    rows = F.explode(F.array(*[F.struct(F.lit(u).alias("union_name"), F.col(f"c{i}").alias("c"), F.col(f"r{i}").alias("r")) for i, u in enumerate(inside)]))
+    total = entities(spark, sf_dir).count()
+    return per.select(rows.alias("x")).groupBy("x.union_name").agg(F.sum("x.c").alias("candidates"), F.sum("x.r").alias("recovered"), (F.lit(total) - F.count_if(F.col("x.c") > 0)).alias("without"))
 
 
 # ---- Exact joins ------------------------------------------------------------------------------------------------
@@ -567,7 +652,15 @@ def win_top_score(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("s1_id").agg(F.max("score").alias("top"))
 
 
-@query(None)
+GRID = """grid as (select (row_number() over (order by a.i, b.i, d.i) - 1)::int as cfg, a.v/100 as tau, (a.v+b.v)/100 as tau_null, d.v as delta
+ from (select unnest(range(45,100,5)) as v, unnest(range(11)) as i) a, (select unnest([0,5,10,15,20]) as v, unnest(range(5)) as i) b, (select unnest([0.0::double,0.03,0.05,0.10,0.15,0.20,1.0]) as v, unnest(range(7)) as i) d where a.v+b.v<=100),
+nt as (select s1_id, count(*) as n_true from truth group by 1),
+tops as (select sc.*, max(score) over (partition by sc.s1_id) as top, t.cand_id is not null as hit from sc left join truth t on t.s1_id=sc.s1_id and t.cand_id=sc.cand_id),
+tried as (select cfg, s1_id, count(*) as n_pred, sum(hit::int) as tp from tops join grid on top>=tau_null and score>=tau and score>=top-delta group by 1,2),
+per as (select cfg, sum(case when coalesce(n_true,0)=0 or tp=0 then 0.0 else 1.25*(tp/n_pred)*(tp/n_true)/(0.25*tp/n_pred+tp/n_true) end) as f, sum((n_true is null)::int) as merged, sum(tp) as tp, sum(n_pred) as n_pred from tried left join nt using (s1_id) group by 1)"""
+
+
+@query("SELECT cfg, tau, tau_null, delta, round((coalesce(f,0)+(SELECT count(*) FROM rec WHERE src='S1' AND entity_id NOT IN (SELECT s1_id FROM nt))-coalesce(merged,0))/(SELECT count(*) FROM rec WHERE src='S1'),6) AS macro_f05, coalesce(tp,0)::bigint AS tp, coalesce(n_pred,0)::bigint AS n_pred FROM grid LEFT JOIN per USING (cfg)", *PAIR_BASE, SCORE, GRID)
 def cal_grid(spark, sf_dir):
     recs = D.noisy_records(spark, sf_dir)
     return decide.calibrate(scored(spark, sf_dir), recs.where("src = 'S1'").select(F.col("entity_id").alias("s1_id")), D.truth(recs))
@@ -587,22 +680,17 @@ def smp_random_neg(spark, sf_dir):
     return matcher.random_negatives(pair_table(spark, sf_dir), D.truth(D.noisy_records(spark, sf_dir))).select("s1_id", "cand_id", "label")
 
 
+def lexical_pairs(spark, sf_dir) -> DataFrame:
+    """Candidates of the channels A to L."""
+    return pair_table(spark, sf_dir).where(F.col("mask").bitwiseAND(F.lit(LEXICAL_MASK).cast("long")) != 0)
+
+
 def featured(spark, sf_dir, pairs: DataFrame) -> DataFrame:
     recs = with_feature_fields(D.noisy_records(spark, sf_dir)).select("entity_id", "fields")
     a, b = recs.select(F.col("entity_id").alias("s1_id"), F.struct("fields").alias("a")), recs.select(F.col("entity_id").alias("cand_id"), F.struct("fields").alias("b"))
     return pair_features(pairs.join(a, "s1_id").join(b, "cand_id").withColumn("channel_hits", F.col("hits"))).drop("a", "b")
 
 
-@query(None)
-def ml_gbdt(spark, sf_dir):
-    """Scores of the candidates of one in ten entities by trees trained on the others."""
-    truth = D.truth(D.noisy_records(spark, sf_dir))
-    fold = F.pmod(F.crc32("s1_id"), F.lit(10)) == 0
-    training = matcher.training_set(pair_table(spark, sf_dir), truth)
-    model = matcher.fit(featured(spark, sf_dir, training.where(~fold)), trees=10, depth=4)
-    return matcher.score(model, featured(spark, sf_dir, pair_table(spark, sf_dir).where(fold)))
-
-
 @query("SELECT coalesce(sum((full_cov and kept<n_true)::int),0)::bigint AS damaged, sum((n_true=0 and n_pred>0)::int)::bigint AS merged FROM (SELECT s1_id, n_true, coalesce(n_pred,0) AS n_pred, coalesce(kept,0) AS kept, n_true>0 AND coalesce(n_rec,0)=n_true AS full_cov FROM (SELECT entity_id AS s1_id, (SELECT count(*) FROM truth t WHERE t.s1_id=entity_id) AS n_true FROM rec WHERE src='S1') e LEFT JOIN (SELECT sc.s1_id, count(*) FILTER (WHERE score>=0.5) AS n_pred, count(t.cand_id) FILTER (WHERE score>=0.5) AS kept, count(t.cand_id) AS n_rec FROM sc LEFT JOIN truth t USING (s1_id, cand_id) GROUP BY 1) USING (s1_id))", *PAIR_BASE, SCORE)
 def agg_damaged(spark, sf_dir):
     recs = D.noisy_records(spark, sf_dir)
@@ -769,18 +857,13 @@ def prj_entity(spark, sf_dir):
     return D.noisy_records(spark, sf_dir).select("entity_id", "clean_name", "legal_name", "clean_addr", *[F.array_join(c, "|").alias(c) for c in ("name_words", "name_tokens", "addr_words", "digits", "postals")])
 
 
-@query("SELECT entity_id AS s1_id, coalesce(ids,'') AS ids FROM rec LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY cand_id) AS ids FROM truth GROUP BY 1) ON s1_id=entity_id WHERE src='S1'")
-def snk_pairs_tsv(spark, sf_dir):
-    return tsv.id_lists(entities(spark, sf_dir), D.truth(D.noisy_records(spark, sf_dir)))
-
-
 @query("SELECT category, s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY s1_id, cand_id) AS r FROM (SELECT src AS category, s1_id, cand_id FROM rc WHERE found=0)) WHERE r<=3", *PAIR_BASE, RECOVERED)
 def win_examples3(spark, sf_dir):
     m = recovered(spark, sf_dir).where("found = 0").select(F.col("src").alias("category"), "s1_id", "cand_id")
     return m.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy("s1_id", "cand_id"))).where("r <= 3").drop("r")
 
 
-for _alias, _of in {"win_posting_prefix": "idx_postings", "win_top_idf": "blk_b", "srt_topk_score": "topk_word_tfidf", "join_inner_truth": "join_truth"}.items():
+for _alias, _of in {"win_posting_prefix": "idx_postings", "win_top_idf": "blk_b", "join_inner_truth": "join_truth"}.items():
     QUERIES[_alias], SQL[_alias] = QUERIES[_of], SQL[_of]
 
 
@@ -841,16 +924,6 @@ for _issue, _name in VAL_NAMES.items():
     SQL[_name] = D.sql(f"SELECT '{_issue}' AS issue, {RULES[_issue]} AS n", LINES, PARSED)
 
 
-@query("SELECT id, array_to_string(ids,'|') AS ids, malformed FROM pl", LINES, PARSED)
-def src_rawlines(spark, sf_dir):
-    return validate.parse_lines(result_lines(spark, sf_dir)).select("id", F.array_join("ids", "|").alias("ids"), "malformed")
-
-
-@query("SELECT id AS s1_id, unnest(list_distinct(ids)) AS cand_id FROM gd", LINES, PARSED)
-def src_truth(spark, sf_dir):
-    return validate.parse_lines(result_lines(spark, sf_dir)).where("not malformed").select(F.col("id").alias("s1_id"), F.explode(F.array_distinct("ids")).alias("cand_id"))
-
-
 @query("SELECT s1_id, cand_id FROM truth EXCEPT SELECT s1_id, cand_id FROM pairs WHERE mask & 4 <> 0", *PAIR_BASE)
 def val_subset_warn(spark, sf_dir):
     c = C.candidate_pairs(all_keys(spark, sf_dir, ["C"], False), ["C"])
@@ -858,14 +931,3 @@ def val_subset_warn(spark, sf_dir):
 
 
 SQL["set_subset"], QUERIES["set_subset"] = SQL["val_subset_warn"], val_subset_warn
-
-
-@query("SELECT truth_key AS pos, s, c, m FROM (SELECT truth_key, entity_id AS s, case when truth_key%50=3 then 'S1-other' else entity_id end AS c, entity_id AS m, truth_key%31=5 AS outside FROM rec WHERE src='S1') WHERE s<>c OR outside")
-def val_streaming(spark, sf_dir):
-    s1 = D.noisy_records(spark, sf_dir).where("src = 'S1'").select(F.col("truth_key").alias("pos"), F.col("entity_id").alias("id"))
-    c = s1.select("pos", F.when(F.col("pos") % 50 == 3, "S1-other").otherwise(F.col("id")).alias("id"), F.array(F.lit("S2-1")).alias("ids"))
-    m = s1.select("pos", "id", F.when(F.col("pos") % 31 == 5, F.array(F.lit("S3-9"))).otherwise(F.array(F.lit("S2-1"))).alias("ids"))
-    return validate.lockstep(s1, c, m)
-
-
-SQL["src_lockstep"], QUERIES["src_lockstep"] = SQL["val_streaming"], val_streaming

@@ -37,6 +37,17 @@ def audit_source(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_named(spark: SparkSession, path: str) -> DataFrame:
+    """Columns by the names in the header, in whatever order the file has them; others are left out."""
+    rows = spark.read.options(sep="\t", header=True, quote='"', escape='"', nullValue="\u0000", emptyValue="").csv(path)
+    return rows.select(*[raw(F.col(c)).alias(c) for c in COLUMNS])
+
+
+def write_lines(lines: DataFrame, header: str, path: str) -> None:
+    """A column `value` of finished lines below a header line in each file, nothing quoted."""
+    lines.select(F.col("value").alias(header)).write.mode("overwrite").options(sep="\u0001", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 def id_array(column: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
@@ -48,13 +59,29 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_id_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of ids."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("id"))
+    """A JSON array of ids, on one line or an id a line: every string in it is an id. Files are split at lines."""
+    found = F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)*)"'), 0)
+    return spark.read.text(path).select(F.explode(F.transform(found, lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0)))).alias("id"))
+
+
+def write_id_json(ids: DataFrame, path: str) -> None:
+    """A column `id` without repeats as one JSON array, an id a line, in order; one task writes the one file, line by line."""
+    last = ids.agg(F.max("id")).first()[0]
+    one = F.to_json(F.array("id"))
+    items = ids.select(F.lit(1).alias("part"), "id", F.concat(F.substring(one, F.lit(2), F.length(one) - 2), F.when(F.col("id") == last, "").otherwise(",")).alias("value"))
+    ends = ids.sparkSession.createDataFrame([(0, None, "["), (2, None, "]")], "part int, id string, value string")
+    items.unionByName(ends).repartition(1).sortWithinPartitions("part", "id").select("value").write.mode("overwrite").text(path)
+
+
+def read_candidates_json(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """JSON objects of id -> ids as pairs: one object in the whole file, or with by_line one on each line."""
+    return spark.read.text(path, wholetext=not by_line).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("s1_id", "ids")).select("s1_id", F.explode("ids").alias("cand_id"))
 
 
-def read_candidates_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of id -> ids as pairs."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("s1_id", "ids")).select("s1_id", F.explode("ids").alias("cand_id"))
+def write_candidates_json(pairs: DataFrame, path: str) -> None:
+    """Pairs as JSON objects, one line for each id."""
+    lists = pairs.groupBy("s1_id").agg(F.array_sort(F.collect_set("cand_id")).alias("ids"))
+    lists.select(F.to_json(F.create_map("s1_id", "ids")).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
