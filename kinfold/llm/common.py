@@ -89,6 +89,8 @@ def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total:
     shuffling, with at most hot_limit(total) rows of a key in a task. Column n doesn't come out. rows is read twice.
     """
     limit = hot_limit(total)
+    if total <= limit:
+        return rows.join(facts.drop(n), keys, how)
     hot, cold = F.broadcast(facts.where(F.col(n) > limit).drop(n)), facts.where(F.col(n) <= limit).drop(n)
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(facts.where(F.col(n) > limit).select(*keys)), keys, "left_anti").join(cold, keys, how))
 

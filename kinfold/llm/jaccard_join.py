@@ -30,7 +30,7 @@ from .shingles import many_word_hashes, mix, shingle_set
 
 LIST = 64
 #: Most nodes and bytes, about, of a block of whole sets, and of a block of differences to compare. One set alone may be larger.
-WHOLE, WHOLE_BYTES, BLOCK, BLOCK_BYTES = 256, 16 << 20, 2048, 8 << 20
+WHOLE, WHOLE_BYTES, BLOCK, BLOCK_BYTES = 256, 4 << 20, 2048, 4 << 20
 #: The bitmap of wanted texts has 2**BITS to 2**MOST_BITS bits, 16 for each if there is room.
 BITS, MOST_BITS = 22, 27
 U = np.uint64
@@ -203,7 +203,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     made = docs.mapInArrow(_signatures(k, percent), "doc_id long, n long, f1 long, f2 long, n0 long, p long, toks array<long>")
     all_sets = stage(made.withColumn("rid", F.monotonically_increasing_id()), "sets")
     live = all_sets.where("n > 0 and doc_id is not null")
-    classes = live.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min_by("rid", "doc_id").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    classes = live.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min_by("rid", "doc_id").alias("kept"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
 
     # Postings: one representative per class, its first shingles, those that other nodes have too.
     classes = stage(classes, "classes")
@@ -249,14 +249,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     packed[words.column("word").to_numpy()] = words.column("bit").to_numpy()
     found = spark.sparkContext.broadcast(packed.view(np.uint8))
     sets = docs.mapInArrow(_full_sets(k, bits, found), "doc_id long, f1 long, n long, shingles binary")
-    held = stage(
-        clusters.join(classes.select("node", "f1", "copies"), "node")
-        .join(sets.withColumnRenamed("doc_id", "node"), ["node", "f1"]).dropDuplicates(["node", "f1"]),
-        "members",
-    )
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / WHOLE, F.sum("n") * 8 / WHOLE_BYTES)).cast("long")
-    size = held.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("nodes"))
-    members = join_hot(held, size, ["cluster"], "nodes", held.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sized = clusters.join(classes.select("node", "f1", "copies", F.col("n").alias("size")), "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / WHOLE, F.sum("size") * 8 / WHOLE_BYTES)).cast("long")
+    by_cluster = stage(sized.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("nodes")), "sizes")
+    nodes = by_cluster.agg(F.sum("nodes")).first()[0] or 0
+    placed = join_hot(sized.drop("size"), by_cluster, ["cluster"], "nodes", nodes).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    members = stage(placed.join(sets.withColumnRenamed("doc_id", "node"), ["node", "f1"]).dropDuplicates(["node", "f1"]), "members")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     columns = ["cluster", "blocks", "block", "node", "copies", "n", "f1", "shingles"]
     large = members.where("blocks > 1").select(*columns)
@@ -275,7 +273,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     compared = stage(
         small.unionByName(cells).groupBy("cluster", "lo", "hi").applyInArrow(_compare(percent), "node long, mate long, links long"), "links"
     )
-    unstage(held, differing, clusters)
+    unstage(members, differing, clusters, by_cluster)
     joined = components(compared.where("mate is not null").select("node", "mate"))
 
     degree = compared.groupBy("node").agg(F.sum("links").alias("links"))
