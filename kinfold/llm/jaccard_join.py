@@ -213,8 +213,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     extra = stage(join_hot(live.select("rid", "f1", "f2"), repeated, ["f1", "f2"], "copies", n_copies).where("rid <> kept").select("rid"), "extra")
     reps = live.join(extra, "rid", "left_anti")
     posted = reps.select("rid", F.explode("toks").alias("t"))
-    df = posted.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = posted.join(df, "t").join(reps.select("rid", F.col("doc_id").alias("node"), "n", "n0", "p"), "rid")
+    df = stage(posted.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumn("rows", F.col("df")), "df")
+    n_posted = df.agg(F.sum("df")).first()[0] or 0
+    shared = join_hot(posted, df, ["t"], "rows", n_posted).join(reps.select("rid", F.col("doc_id").alias("node"), "n", "n0", "p"), "rid")
 
     first = (F.col("t") >= 0) & (F.col("t") < F.lit(min(class_limit(percent), 2**63 - 1)))
     by_set = Window.partitionBy("rid")
@@ -226,10 +227,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         ranked = ranked.withColumn(f"r{bit}", rank)
         mask = mask + F.when((F.col("tier") == 1) | (F.col(f"r{bit}") <= F.col("room")), 1 << bit).otherwise(0)
     prefix = stage(ranked.withColumn("mask", mask).where("mask > 0").select("t", "node", "n", "mask"), "prefix")
-    unstage(extra)
+    unstage(extra, df)
 
-    lists = prefix.groupBy("t").agg(F.count_distinct("node").alias("len"), F.min("node").alias("least")).where("len > 1")
-    listed = prefix.join(lists, "t")
+    lists = prefix.groupBy("t").agg(F.count_distinct("node").alias("len"), F.min("node").alias("least"), F.count(F.lit(1)).alias("rows")).where("len > 1")
+    listed = join_hot(prefix, stage(lists, "lists"), ["t"], "rows", n_posted)
     a, b = listed.where(f"len <= {LIST}").alias("a"), prefix.alias("b")
     pairs = (
         a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.node") < F.col("b.node"))
