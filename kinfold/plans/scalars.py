@@ -143,6 +143,23 @@ def prefix_sql(x: str, y: str) -> str:
     return f"(list_max([case when substr({x},1,i::int)=substr({y},1,i::int) then i else 0 end for i in range(0, least(length({x}),length({y}))+1)]))"
 
 
+def lcs_sql(name: str, x: str, y: str) -> str:
+    """CTEs that give `name`: s1_id, cand_id, r, the indel ratio of x and y; the shorter text's matches are bits of one number."""
+    return f"""{name}_t as (select s1_id, cand_id, {x} as x, {y} as y from p), {name}_u as (select *, case when length(x)<=length(y) then x else y end as u, case when length(x)<=length(y) then y else x end as v from {name}_t),
+{name}_r(s1_id, cand_id, u, v, j, free) as (select s1_id, cand_id, u, v, 0, (1::hugeint<<length(u))-1 from {name}_u union all
+ select s1_id, cand_id, u, v, j+1, ((free+met)|(free-met))&((1::hugeint<<length(u))-1) from (select *, free & list_sum([case when substr(u,i::int,1)=substr(v,j+1,1) then 1::hugeint<<(i-1)::int else 0::hugeint end for i in range(1,length(u)+1)])::hugeint as met from {name}_r where j<length(v) and u<>'')),
+{name} as (select t.s1_id, t.cand_id, case when t.x=t.y then 1.0 when t.x='' or t.y='' then 0.0 else 2*(length(r.u)-bit_count(r.free))/(length(t.x)+length(t.y)) end as r
+ from {name}_u t join {name}_r r using (s1_id, cand_id) where r.j=length(r.v) or (r.u='' and r.j=0))"""
+
+
+def tokens_sorted_sql(x: str) -> str:
+    return f"array_to_string(list_sort([w for w in string_split({x},' ') if w<>'']),' ')"
+
+
+RATIOS = {
+    "name_fuzz_ratio": lcs_sql("q1_ratio", "a.clean_name", "b.clean_name"), "name_token_sort_ratio": lcs_sql("q2_ratio", tokens_sorted_sql("a.clean_name"), tokens_sorted_sql("b.clean_name")),
+    "addr_fuzz_ratio": lcs_sql("q3_ratio", "a.clean_addr", "b.clean_addr"), "addr_token_sort_ratio": lcs_sql("q4_ratio", tokens_sorted_sql("a.clean_addr"), tokens_sorted_sql("b.clean_addr")),
+}
 nw, an, bn = ("a.name_words", "b.name_words"), "a.clean_name", "b.clean_name"
 chars = lambda x: F.array_distinct(F.filter(F.split(x, ""), lambda c: c.rlike(r"^[\p{L}\p{N}]")))
 chars_sql = lambda x: rf"list_distinct([c for c in string_split({x},'') if regexp_matches(c,'[\pL\pN]')])"
@@ -152,6 +169,8 @@ similar("sim_overlap", lambda A, B: S.overlap(A("name_words"), B("name_words")),
 similar("sim_ngram_jaccard", lambda A, B: S.ngram_jaccard(A("clean_name"), B("clean_name"), T.ngrams_bare(A("clean_name")), T.ngrams_bare(B("clean_name"))), ngram_sql(an, bn, 3))
 similar("sim_indel_ratio", lambda A, B: S.indel_ratio(A("clean_name"), B("clean_name")), None)
 similar("sim_token_sort", lambda A, B: S.indel_ratio(S.sorted_tokens(A("clean_name")), S.sorted_tokens(B("clean_name"))), None)
+for _name, _feature_name in (("sim_indel_ratio", "name_fuzz_ratio"), ("sim_token_sort", "name_token_sort_ratio")):
+    SQL[_name] = D.sql(f"SELECT s1_id, cand_id, round(r, 9)::double AS value FROM {RATIOS[_feature_name][:8]}", PAIRS, RATIOS[_feature_name])
 similar("sim_len_diff", lambda A, B: S.length_difference(A("clean_name"), B("clean_name")), length_sql(an, bn))
 similar("fn_prefix_len", lambda A, B: T.prefix_length(A("clean_name"), B("clean_name")).cast("double"), prefix_sql(an, bn))
 similar("sim_prefix_ratio", lambda A, B: S.prefix_ratio(A("clean_name"), B("clean_name"), T.prefix_length(A("clean_name"), B("clean_name"))), f"case when greatest(length({an}),length({bn}))>0 then {prefix_sql(an, bn)}/greatest(length({an}),length({bn})) else 0.0 end")
@@ -186,10 +205,21 @@ FEATURE_SQL = {
     "numeric_post_match": f"(len(list_intersect({p3('a')},{p3('b')}))>0 and len(list_intersect(a.digits,b.digits))>0)::int", "landmark_match": f"(len(list_intersect({lm('a')},{lm('b')}))>0)::int",
     "name_x_addr_jaccard": f"{jaccard_sql(*nw)}*{jaccard_sql(*aw)}", "name_c3_x_addr_c3": f"{ngram_sql(an, bn, 3)}*{ngram_sql(aa, ba, 3)}", "cand_is_s2": "0", "channel_hits": "1",
 }
+latin_of = lambda x: rf"(case when regexp_matches({x},'[^\x00-\x7F]') then {D.latin_sql(x)} else {x} end)"
+FEATURE_SQL |= {
+    "name_translit_c3": ngram_sql("ta", "tb", 3), "name_translit_exact": "(ta=tb and ta<>'')::int",
+}
+LATIN_PAIRS = f"pl as (select *, {latin_of('a.clean_name')} as ta, {latin_of('b.clean_name')} as tb from p)"
 for _f in FEATURES:
     QUERIES[f"feat_{_f}"] = _feature(_f)
     if _f in FEATURE_SQL:
-        SQL[f"feat_{_f}"] = D.sql(f"SELECT s1_id, cand_id, round({FEATURE_SQL[_f]}::double, 9) AS {_f} FROM p", PAIRS)
+        SQL[f"feat_{_f}"] = D.sql(f"SELECT s1_id, cand_id, round({FEATURE_SQL[_f]}::double, 9) AS {_f} FROM pl", PAIRS, LATIN_PAIRS)
+    else:
+        SQL[f"feat_{_f}"] = D.sql(f"SELECT s1_id, cand_id, round(r, 9)::double AS {_f} FROM {RATIOS[_f][:8]}", PAIRS, RATIOS[_f])
+SQL["feat_all"] = D.sql(
+    "SELECT s1_id, cand_id, " + ", ".join(f"round({FEATURE_SQL[f] if f in FEATURE_SQL else RATIOS[f][:8] + '.r'}::double, 9) AS {f}" for f in FEATURES)
+    + " FROM pl " + " ".join(f"JOIN {x[:8]} USING (s1_id, cand_id)" for x in RATIOS.values()), PAIRS, LATIN_PAIRS, *RATIOS.values(),
+)
 
 
 def sim_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,4 +154,4 @@ truth as (select a.entity_id as s1_id, b.entity_id as cand_id from rec a join re
 
 
 def sql(body: str, *ctes: str) -> str:
-    return "WITH " + ",\n".join([RECORDS, *ctes]) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join([RECORDS, *ctes]) + "\n" + body
