@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import files, linkage, scalars
+from .plans import files, linkage, reports, scalars
 
-QUERIES: dict = {**scalars.QUERIES, **linkage.QUERIES, **files.QUERIES}
-SQL: dict[str, str] = {**scalars.SQL, **linkage.SQL, **files.SQL}
+QUERIES: dict = {**scalars.QUERIES, **linkage.QUERIES, **files.QUERIES, **reports.QUERIES}
+SQL: dict[str, str] = {**scalars.SQL, **linkage.SQL, **files.SQL, **reports.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

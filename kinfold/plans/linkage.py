@@ -170,11 +170,6 @@ def blk_d_relaxed(spark, sf_dir):
     return relaxed_keys(D.noisy_records(spark, sf_dir)).select("entity_id", "channel", "kval")
 
 
-@query("SELECT entity_id, channel, kval FROM (%s)" % " UNION ALL ".join(KEY_SQL[n] for n in "ACEFG"), KR)
-def blk_audit(spark, sf_dir):
-    return C.channel_keys(D.noisy_records(spark, sf_dir), list("ACEFG")).select("entity_id", "channel", "kval")
-
-
 # ---- Postings, candidate pairs, unions --------------------------------------------------------------------------
 
 LEXICAL = ["A", "C", "E", "F", "G", "H", "I", "J", "K", "L"]
@@ -339,14 +334,6 @@ def agg_oracle_f05(spark, sf_dir):
 SPACE = "(SELECT sum(a.n*b.n) FROM (SELECT country, count(*) n FROM rec WHERE src='S1' GROUP BY 1) a JOIN (SELECT country, count(*) n FROM rec WHERE src<>'S1' GROUP BY 1) b USING (country))"
 
 
-@query(f"SELECT union_name, sum(n_cand-n_rec)::bigint AS false_pairs, round(sum(n_rec)/sum(n_cand),6) AS purity, round(1-sum(n_cand)/{SPACE},6) AS reduction, sum(case when n_true=0 then n_cand else 0 end)::bigint AS singleton_burden FROM uc GROUP BY 1", *PAIR_BASE, unions_sql(SMALL))
-def agg_purity(spark, sf_dir):
-    space = pair_space(spark, sf_dir).scalar()
-    return union_counts(spark, sf_dir, SMALL).groupBy("union_name").agg(
-        F.sum(F.col("n_cand") - F.col("n_rec")).alias("false_pairs"), F.round(F.sum("n_rec") / F.sum("n_cand"), 6).alias("purity"), F.sum("n_cand").alias("n"), F.sum(F.when(F.col("n_true") == 0, F.col("n_cand")).otherwise(0)).alias("singleton_burden"),
-    ).select("union_name", "false_pairs", "purity", F.round(1 - F.col("n") / space, 6).alias("reduction"), "singleton_burden")
-
-
 @query(f"SELECT {SPACE}::bigint AS pair_space", name="join_cross_count")
 def pair_space(spark, sf_dir):
     recs = D.noisy_records(spark, sf_dir)
@@ -397,29 +384,12 @@ def missed_pairs(spark, sf_dir) -> DataFrame:
 
 AUDIT = f"""md as (select m.*, a, b, [w for w in a.name_tokens if list_contains(b.name_tokens,w)] as nshared, [w for w in a.addr_words3x if list_contains(b.addr_words3x,w)] as ashared from missed m
  join (select *, {D.words_sql('clean_addr', 'length(w)>=3', D.NOT_DIGITS)} as addr_words3x from rec) a on a.entity_id=m.s1_id join (select *, {D.words_sql('clean_addr', 'length(w)>=3', D.NOT_DIGITS)} as addr_words3x from rec) b on b.entity_id=m.cand_id)"""
-AUDIT_SQL = """SELECT count(*) AS missed, count(DISTINCT s1_id) AS missed_s1, coalesce(sum((len(nshared)=0)::int),0)::bigint AS no_shared_name_tokens, coalesce(sum((len(ashared)=0)::int),0)::bigint AS no_shared_address_tokens,
-coalesce(sum((len(nshared)=0 and len(ashared)=0)::int),0)::bigint AS all_disjoint, coalesce(sum((b.addr='')::int),0)::bigint AS target_address_missing, coalesce(sum((b.name='')::int),0)::bigint AS target_name_missing,
-coalesce(sum((len(a.digits)>0 and len(b.digits)>0 and len(list_intersect(a.digits,b.digits))=0)::int),0)::bigint AS numbers_disjoint FROM md"""
-
-
-@query(AUDIT_SQL, *PAIR_BASE, RECOVERED, MISSED, AUDIT)
-def agg_miss_audit(spark, sf_dir):
-    words = lambda s: F.filter(T.words(F.col(f"{s}.clean_addr")), lambda w: (F.length(w) >= 3) & ~T.is_digits(w))
-    disjoint = lambda x, y: F.size(F.array_intersect(x, y)) == 0
-    n, a = disjoint(F.col("a.name_tokens"), F.col("b.name_tokens")), disjoint(words("a"), words("b"))
-    flag = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
-    x, y = F.col("a.digits"), F.col("b.digits")
-    return missed_pairs(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("missed"), F.count_distinct("s1_id").alias("missed_s1"), flag(n).alias("no_shared_name_tokens"), flag(a).alias("no_shared_address_tokens"), flag(n & a).alias("all_disjoint"),
-        flag(F.col("b.addr") == "").alias("target_address_missing"), flag(F.col("b.name") == "").alias("target_name_missing"), flag((F.size(x) > 0) & (F.size(y) > 0) & disjoint(x, y)).alias("numbers_disjoint"))
-
-
 TAXONOMY_SQL = r"""case when regexp_matches(a.legal_name||b.legal_name,'[^\x00-\x7F]') then 'multilingual_transliteration' when a.addr='' or b.addr='' or len(string_split(a.addr,' '))<=1 or len(string_split(b.addr,' '))<=1 then 'missing_address_components'
 when len(nshared)=0 and (length(a.legal_name)<=5 or length(b.legal_name)<=5) then 'extreme_name_abbreviation' when len(nshared)=0 then 'heavy_spelling_or_ocr_typo' else 'address_variation_different_locality' end"""
 
 
-@query(f"SELECT {TAXONOMY_SQL} AS category, count(*) AS n FROM md GROUP BY 1", *PAIR_BASE, RECOVERED, MISSED, AUDIT)
-def agg_taxonomy(spark, sf_dir):
+def missed_kinds(spark, sf_dir) -> DataFrame:
+    """Missed links with the class that their records fall into."""
     a, b = (lambda x: F.col(f"a.{x}")), (lambda x: F.col(f"b.{x}"))
     shared = F.size(F.array_intersect(a("name_tokens"), b("name_tokens")))
     short = lambda x: (x == "") | (F.size(F.split(x, " ")) <= 1)
@@ -428,7 +398,7 @@ def agg_taxonomy(spark, sf_dir):
         .when((shared == 0) & ((F.length(a("legal_name")) <= 5) | (F.length(b("legal_name")) <= 5)), "extreme_name_abbreviation").when(shared == 0, "heavy_spelling_or_ocr_typo")
         .otherwise("address_variation_different_locality")
     )
-    return missed_pairs(spark, sf_dir).groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return missed_pairs(spark, sf_dir).select("s1_id", "cand_id", kind.alias("category"))
 
 
 MOST = 30  # postings of a token that a probe reads
@@ -615,11 +585,6 @@ def agg_macro_f05(spark, sf_dir):
     return metrics.evaluate(legal_counts(spark, sf_dir))
 
 
-@query(f"SELECT country, {EVALUATION} FROM ec GROUP BY 1", PREDICTED, COUNTS)
-def agg_exact_eval(spark, sf_dir):
-    return metrics.evaluate(legal_counts(spark, sf_dir), ["country"])
-
-
 SCORE = "sc as (select s1_id, cand_id, round(hits*mask%97/100.0 + 0.03*(hits%2),4) as score from pairs)"
 
 
@@ -703,32 +668,7 @@ def agg_damaged(spark, sf_dir):
     return e.agg(F.count_if(full & (F.col("kept") < F.col("n_true"))).alias("damaged"), F.count_if((F.col("n_true") == 0) & (F.col("n_pred") > 0)).alias("merged"))
 
 
-# ---- Profiles ---------------------------------------------------------------------------------------------------
-
-@query("SELECT src, country, count(*) AS n, count(DISTINCT entity_id) AS ids, sum((name='')::int)::bigint AS no_name, sum((addr='')::int)::bigint AS no_address, sum((name='' and addr='')::int)::bigint AS neither FROM rec GROUP BY 1,2")
-def agg_profile(spark, sf_dir):
-    n, a = F.col("name") == "", F.col("addr") == ""
-    return D.noisy_records(spark, sf_dir).groupBy("src", "country").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("ids"), F.count_if(n).alias("no_name"), F.count_if(a).alias("no_address"), F.count_if(n & a).alias("neither"))
-
-
-@query("SELECT src, count(*) AS n, min(length(name)) AS least, max(length(name)) AS most, round(avg(length(name)),6) AS mean, round(stddev_pop(length(name)),6) AS std, quantile_disc(length(name),0.1) AS p10, quantile_disc(length(name),0.5) AS p50, quantile_disc(length(name),0.99) AS p99 FROM rec GROUP BY 1")
-def agg_len_stats(spark, sf_dir):
-    n = F.length("name")
-    disc = [F.expr(f"cast(percentile_disc({q}) within group (order by length(name)) as long)").alias(a) for a, q in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99))]
-    return D.noisy_records(spark, sf_dir).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_pop(n), 6).alias("std"), *disc)
-
-
-@query("SELECT src, sum(regexp_matches(addr,'[0-9]')::int)::bigint AS with_digit, sum(contains(addr,',')::int)::bigint AS with_comma, sum((len(postals)>0)::int)::bigint AS with_postal, round(avg(regexp_matches(addr,'[0-9]')::int),6) AS digit_rate FROM rec WHERE addr<>'' GROUP BY 1")
-def agg_addr_signals(spark, sf_dir):
-    digit = F.col("addr").rlike(r"\p{Nd}")
-    return D.noisy_records(spark, sf_dir).where("addr <> ''").groupBy("src").agg(F.count_if(digit).alias("with_digit"), F.count_if(F.contains(F.col("addr"), F.lit(","))).alias("with_comma"), F.count_if(F.size("postals") > 0).alias("with_postal"), F.round(F.avg(digit.cast("int")), 6).alias("digit_rate"))
-
-
-@query("SELECT src, count(*) AS unique_values, sum(case when n>1 then n else 0 end)::bigint AS in_groups, max(n) AS largest FROM (SELECT src, clean_name, count(*) AS n FROM rec WHERE clean_name<>'' GROUP BY 1,2) GROUP BY 1")
-def agg_dup_rate(spark, sf_dir):
-    groups = D.noisy_records(spark, sf_dir).where("clean_name <> ''").groupBy("src", "clean_name").agg(F.count(F.lit(1)).alias("n"))
-    return groups.groupBy("src").agg(F.count(F.lit(1)).alias("unique_values"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("in_groups"), F.max("n").alias("largest"))
-
+# ---- Frequent values, sets, pools --------------------------------------------------------------------------------
 
 _STEPS = (2, 5, 10, 50, 100, 500, 1000)
 _CROSSED = "+".join(f"(n>={s})::int" for s in _STEPS)
@@ -745,18 +685,10 @@ SQL["srt_most_common"] = "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDE
 TRUTH_KINDS = "tk as (select entity_id as s1_id, country, (select count(*) from truth t where t.s1_id=entity_id and t.cand_id like 'S2%') as s2, (select count(*) from truth t where t.s1_id=entity_id and t.cand_id like 'S3%') as s3 from rec where src='S1')"
 
 
-@query("SELECT case when s2+s3=0 then 'singleton' when s3=0 then 'S2 only' when s2=0 then 'S3 only' else 'both' end AS composition, s2+s3 AS matches, count(*) AS entities, sum(s2)::bigint AS s2_links, sum(s3)::bigint AS s3_links FROM tk GROUP BY 1,2", TRUTH_KINDS)
-def agg_truth_profile(spark, sf_dir):
-    recs = D.noisy_records(spark, sf_dir)
-    per = D.truth(recs).groupBy("s1_id").agg(F.count_if(F.startswith("cand_id", F.lit("S2"))).alias("s2"), F.count_if(F.startswith("cand_id", F.lit("S3"))).alias("s3"))
-    e = recs.where("src = 'S1'").select(F.col("entity_id").alias("s1_id")).join(per, "s1_id", "left").fillna(0)
-    kind = F.when(F.col("s2") + F.col("s3") == 0, "singleton").when(F.col("s3") == 0, "S2 only").when(F.col("s2") == 0, "S3 only").otherwise("both")
-    return e.groupBy(kind.alias("composition"), (F.col("s2") + F.col("s3")).alias("matches")).agg(F.count(F.lit(1)).alias("entities"), F.sum("s2").alias("s2_links"), F.sum("s3").alias("s3_links"))
-
-
 @query("SELECT matches, n, sum(n) OVER (ORDER BY matches)::bigint AS running FROM (SELECT s2+s3 AS matches, count(*) AS n FROM tk GROUP BY 1)", TRUTH_KINDS)
 def win_cumulative(spark, sf_dir):
-    per = agg_truth_profile(spark, sf_dir).groupBy("matches").agg(F.sum("entities").alias("n"))
+    n = D.truth(D.noisy_records(spark, sf_dir)).groupBy("s1_id").agg(F.count(F.lit(1)).alias("matches"))
+    per = entities(spark, sf_dir).join(n, "s1_id", "left").fillna(0, ["matches"]).groupBy("matches").agg(F.count(F.lit(1)).alias("n"))
     return per.withColumn("running", F.sum("n").over(Window.orderBy("matches").rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -766,12 +698,6 @@ def agg_country_pool(spark, sf_dir):
     return D.noisy_records(spark, sf_dir).groupBy("country").agg(one.alias("s1"), F.count_if(F.col("src") != "S1").alias("pool"), F.round(F.count_if(F.col("src") != "S1") / one, 6).alias("ratio"))
 
 
-@query(r"SELECT src, sum(regexp_matches(name,'[^\x00-\x7F]')::int)::bigint AS name, sum(regexp_matches(addr,'[^\x00-\x7F]')::int)::bigint AS address, sum(regexp_matches(name||addr,'[^\x00-\x7F]')::int)::bigint AS either FROM rec GROUP BY 1")
-def agg_nonascii(spark, sf_dir):
-    n, a = T.is_non_ascii(F.col("name")), T.is_non_ascii(F.col("addr"))
-    return D.noisy_records(spark, sf_dir).groupBy("src").agg(F.count_if(n).alias("name"), F.count_if(a).alias("address"), F.count_if(n | a).alias("either"))
-
-
 # ---- Sets, samples, rows ----------------------------------------------------------------------------------------
 
 def names_of(recs, src) -> DataFrame:
@@ -819,7 +745,6 @@ def smp_reservoir(spark, sf_dir):
     return sampling.bottom_k(m, 100, "42", "s1_id", "cand_id")
 
 
-SQL["snk_miss_tsv"], QUERIES["snk_miss_tsv"] = SQL["smp_reservoir"], smp_reservoir
 
 
 @query("SELECT entity_id, name FROM rec ORDER BY entity_id LIMIT 100")

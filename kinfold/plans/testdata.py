@@ -143,7 +143,7 @@ noisy as (
    from t, unnest(['S1','S2','S3']) as u(s) where doc_id%25=4 and (s<>'S2' or doc_id%50=4)
  union all
  select s, 'B', doc_id, 2000000000, 'Meridian Freight Pvt Ltd', '7 Harbour Wharf 40007', lang from t, unnest(['S1','S2']) as u(s) where case s when 'S1' then doc_id%100=7 else doc_id%2=1 end),
-q0 as (select src||'-'||mark||lpad(cast(doc_id as varchar),8,'0') as entity_id, src, doc_id+add as truth_key, lang as country, nm as name, ad as addr,
+q0 as (select src||'-'||mark||lpad(cast(doc_id as varchar),8,'0') as entity_id, src, doc_id+add as truth_key, lang as country, trim(nm) as name, trim(ad) as addr,
   {clean_sql('nm')} as clean_name, {clean_sql('ad')} as clean_addr from noisy),
 q1 as (select *, trim(regexp_replace(lower(name),'\s+',' ','g')) as base_name, {forms_sql('clean_name', LEGAL_FORMS)} as legal_name from q0),
 rec as (select *, {words_sql('clean_name', LIGHT)} as name_words, {words_sql('legal_name')} as legal_words, {words_sql('legal_name', 'length(w)>=3', LIGHT)} as name_tokens,
