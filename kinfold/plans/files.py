@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import channels as C
@@ -45,14 +45,13 @@ def once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
 # ---- Sources ----------------------------------------------------------------------------------------------------
 
 HEADER = "\t".join(tsv.COLUMNS)
-BAD = F.col("truth_key") % 37 == 0
 
 
 def source_file(spark, sf_dir, faulty: bool) -> str:
     """The noisy records as a tab-separated file; with faults, one row in 37 lacks two fields."""
     recs = D.noisy(spark, sf_dir)
     whole, short = (F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in columns]) for columns in (tsv.COLUMNS, tsv.COLUMNS[:2]))
-    lines = recs.select((F.when(BAD, short).otherwise(whole) if faulty else whole).alias("value"))
+    lines = recs.select((F.when(F.col("truth_key") % 37 == 0, short).otherwise(whole) if faulty else whole).alias("value"))
     return once(spark, sf_dir, f"source-{faulty}", lambda path: tsv.write_lines(lines, HEADER, path))
 
 
@@ -238,7 +237,11 @@ def flt_nonempty_key(spark, sf_dir):
 
 # ---- Models and inference ---------------------------------------------------------------------------------------
 
-FOLD = F.pmod(F.crc32("s1_id"), F.lit(2))
+def half() -> Column:
+    """Which half of the entities an entity is in, 0 or 1."""
+    return F.pmod(F.crc32("s1_id"), F.lit(2))
+
+
 #: Size of the boosted trees that the queries train: of the survey's bound for tests, not the published 250 rounds.
 TREES, DEPTH = 30, 5
 
@@ -247,15 +250,15 @@ def model_files(spark, sf_dir) -> str:
     """A model trained on the pairs of half the entities, with its calibrated rule, saved."""
     def write(path: str) -> None:
         truth = D.truth(D.noisy_records(spark, sf_dir))
-        training = matcher.training_set(L.lexical_pairs(spark, sf_dir).where(FOLD == 0), truth)
+        training = matcher.training_set(L.lexical_pairs(spark, sf_dir).where(half() == 0), truth)
         model = matcher.fit(L.featured(spark, sf_dir, training), TREES, DEPTH)
-        held = L.entities(spark, sf_dir).where(FOLD == 1)
-        scored = matcher.score(model, L.featured(spark, sf_dir, L.lexical_pairs(spark, sf_dir).where(FOLD == 1)))
-        best = decide.calibrate(scored, held, truth.where(FOLD == 1)).first()
+        held = L.entities(spark, sf_dir).where(half() == 1)
+        scored = matcher.score(model, L.featured(spark, sf_dir, L.lexical_pairs(spark, sf_dir).where(half() == 1)))
+        best = decide.calibrate(scored, held, truth.where(half() == 1)).first()
         config = {
             "blocking": "A-L", "max_bucket_size": 80, "cap_per_channel": C.CHANNELS["A"].cap, "train_sample_s1": None, "val_sample_s1": None, "seed": 42,
             "tau": best.tau, "tau_null": best.tau_null, "delta_multi": best.delta, "validation_macro_f05": best.macro_f05,
-            "validation_precision": best.tp / max(1, best.n_pred), "validation_recall": best.tp / max(1, truth.where(FOLD == 1).count()), "singleton_accuracy": None,
+            "validation_precision": best.tp / max(1, best.n_pred), "validation_recall": best.tp / max(1, truth.where(half() == 1).count()), "singleton_accuracy": None,
         }
         matcher.save_model(model, path, config)
 
@@ -297,8 +300,8 @@ def cross_fitted(spark, sf_dir, pairs: DataFrame, featured, features, training,
     """Scores of all pairs, those of each half of the entities by trees trained on the other half."""
     out = None
     for fold in (0, 1):
-        model = matcher.fit(featured(training.where(FOLD != fold)), features=features, **sizes)
-        scores = matcher.score(model, featured(pairs.where(FOLD == fold)))
+        model = matcher.fit(featured(training.where(half() != fold)), features=features, **sizes)
+        scores = matcher.score(model, featured(pairs.where(half() == fold)))
         out = scores if out is None else out.unionByName(scores)
     return out
 

@@ -37,7 +37,6 @@ def agg_profile(spark, sf_dir):
     return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("src")), 6))
 
 
-LENGTHS = {"name": F.length("name"), "address": F.length("addr"), "name_tokens": F.size(T.words(F.col("clean_name"))), "address_tokens": F.size(T.words(F.col("clean_addr")))}
 _LENGTHS_SQL = " union all ".join(f"select src, '{k}' as field, {v} as v from rec" for k, v in {
     "name": "length(name)", "address": "length(addr)", "name_tokens": "len([w for w in string_split(clean_name,' ') if w<>''])", "address_tokens": "len([w for w in string_split(clean_addr,' ') if w<>''])"}.items())
 _SHARES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
@@ -46,7 +45,8 @@ _SHARES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99":
 @query("SELECT src, field, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v),6) AS mean, round(stddev_pop(v),6) AS std, " + ", ".join(f"quantile_disc(v,{q}) AS {k}" for k, q in _SHARES.items()) + f" FROM ({_LENGTHS_SQL}) GROUP BY 1,2")
 def agg_len_stats(spark, sf_dir):
     """Six percentiles and moments of the lengths of names and addresses, in characters and in words."""
-    fields = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("v")) for k, v in LENGTHS.items()])).alias("x")
+    lengths = {"name": F.length("name"), "address": F.length("addr"), "name_tokens": F.size(T.words(F.col("clean_name"))), "address_tokens": F.size(T.words(F.col("clean_addr")))}
+    fields = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("v")) for k, v in lengths.items()])).alias("x")
     disc = [F.expr(f"cast(percentile_disc({q}) within group (order by v) as long)").alias(k) for k, q in _SHARES.items()]
     return D.noisy_records(spark, sf_dir).select("src", fields).select("src", "x.field", "x.v").groupBy("src", "field").agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"), *disc)
