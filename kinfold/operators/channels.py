@@ -212,14 +212,14 @@ def postings(keyed: DataFrame, names: list[str]) -> DataFrame:
     """Candidate postings that a probe reads, with the key's number of them: the first `cap` of a key, or all of a key with at most `cap`.
 
     Order is source, then id. The literal bound lets the planner cut each task's groups before the shuffle, so that n is right up to
-    the largest cap; the count reads the same sorted groups as the ranks.
+    the largest cap; the count reads the same sorted groups as the ranks. A hash of the key goes first, so that sorting rarely compares strings.
     """
     group = ["channel", "country", "ktype", "kval"]
     cap = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(CHANNELS[n].cap))])[F.col("channel")]
     whole = F.col("channel").isin(*[n for n in names if CHANNELS[n].whole])
     most = max(CHANNELS[n].cap for n in names) + 1
-    by_key = Window.partitionBy(*group)
-    ranked = keyed.where("src <> 'S1'").withColumn("pos", F.row_number().over(by_key.orderBy("src", "entity_id"))).where(F.col("pos") <= most)
+    by_key = Window.partitionBy("_h", *group)
+    ranked = keyed.where("src <> 'S1'").withColumn("_h", F.xxhash64(*group)).withColumn("pos", F.row_number().over(by_key.orderBy("src", "entity_id"))).where(F.col("pos") <= most)
     ranked = ranked.withColumn("n", F.count(F.lit(1)).over(by_key))
     return ranked.where(F.when(whole, F.col("n") <= cap).otherwise(F.col("pos") <= cap)).select(*group, F.col("entity_id").alias("cand_id"), "n")
 
