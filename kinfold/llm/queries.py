@@ -14,14 +14,17 @@ def fold(modulus: int) -> Column:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every URL of `pages` judged: by the longest rule that fits, else by models of other sites. A null url has empty host and path."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of `documents`, and the same edited with the next one, fingerprinted. A null text is empty."""
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
 
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of `documents` scored, by labels of rows outside the held-out fold. A null text is empty; a null doc_id is not held out."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = compression_quality.train(docs, labels.where(fold(5) != 0))
     scored = compression_quality.score(docs, model, ["doc_id"])
@@ -30,15 +33,18 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws from all of `documents` by source, with the budget of all their words. Texts without words are never drawn."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of `pages` archived and read back; sizes and digests come from the payloads read. A null html is empty."""
     read = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of `documents`, learned outside the held-out fold. A null doc_id is not held out and teaches."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(F.coalesce(fold(4), F.lit(-1)) != 2))
     guessed = language_id.predict(docs.select("doc_id", "text"), model)
@@ -46,18 +52,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of `documents` linked by three-word shingles at 0.9, with their numbers of links. A null doc_id links nothing."""
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of `pages`; empty for null html."""
     return main_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op9_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`conversations` without quotations, every message with what it replies to and its place in that order."""
     return quotations.link_quotations(table(spark, sf_dir, "conversations"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item of `benchmark` that overlap, with the best stretch."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
