@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import compression_quality, decontaminate, jaccard_join, language_id, mixing
-from kinfold.llm.common import stage, table
+from kinfold.llm.common import stage, table, unstage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +41,22 @@ STAGES = [
     ("mixing sources to target weights", mixture),
 ]
 
-#: Compression, a trained language model and hashing with a prefix filter have no SQL; tests/llm holds the stages against brute force.
+#: Compression and a trained language model have no SQL; tests/llm/test_queries.py holds every stage against brute force or the SQL of its operator.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other over the whole of `documents`; each stage's rows are written and read again, and go once the next ones are written.
+
+    Null texts count as empty and have no language, so they go at the language stage; rows with a null doc_id are judged like others and
+    never removed as copies or leaks. Empty tables give no rows.
+    """
+    docs, held = table(spark, sf_dir, "documents"), None
     for k, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stage(docs, f"stage{k}")
+            if held is not None:
+                unstage(held)
+            held = docs
     return docs
