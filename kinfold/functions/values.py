@@ -41,6 +41,7 @@ SOUNDS = {
     0x2A: "p", 0x2B: "ph", 0x2C: "b", 0x2D: "bh", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x32: "l", 0x35: "v", 0x36: "sh", 0x37: "sh", 0x38: "s", 0x39: "h",
     0x3E: "a", 0x3F: "i", 0x40: "ee", 0x41: "u", 0x42: "oo", 0x47: "e", 0x48: "ai", 0x4B: "o", 0x4C: "au", 0x4D: "",
 }
+# Signs that most scripts have, short vowels that some have, and what each script adds to the sounds, or lacks.
 MARKS = {0x01: "n", 0x02: "n", 0x03: "h"}
 SHORT_VOWELS = {0x0E: "e", 0x12: "o", 0x46: "e", 0x4A: "o"}
 SCRIPT_EXTRAS = {
@@ -51,13 +52,12 @@ SCRIPT_EXTRAS = {
 SCRIPT_GAPS = {
     "bengali": (0x35,), "tamil": (0x16, 0x17, 0x18, 0x1B, 0x1D, 0x20, 0x21, 0x22, 0x25, 0x26, 0x27, 0x2B, 0x2C, 0x2D, 0x36),
 }
-SCRIPT_CHANGES = {"tamil": {0x1A: "ch", 0x24: "th"}}
 
 
 def sounds() -> dict[str, str]:
     """Latin sounds of the letters and signs of the seven scripts."""
     table: dict[str, str] = {}
     for script, block in SCRIPT_BLOCKS.items():
-        own = {k: v for k, v in SOUNDS.items() if k not in SCRIPT_GAPS.get(script, ())} | SCRIPT_EXTRAS[script] | SCRIPT_CHANGES.get(script, {})
+        own = {k: v for k, v in SOUNDS.items() if k not in SCRIPT_GAPS.get(script, ())} | SCRIPT_EXTRAS[script]
         table |= {chr(block + offset): sound for offset, sound in own.items()}
     return table

@@ -21,6 +21,7 @@ def by_null_margin(scored: DataFrame, tau: float, tau_null: float, delta: float)
 
 def grid(spark: SparkSession) -> DataFrame:
     """The configurations that calibration tries, numbered in order."""
+    # Thresholds, what they may add for the best score, and margins.
     rows = [
         (tau / 100, (tau + null) / 100, delta)
         for tau in range(45, 100, 5) for null in (0, 5, 10, 15, 20) for delta in (0.0, 0.03, 0.05, 0.10, 0.15, 0.20, 1.0) if tau + null <= 100

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import raw
 
+# The columns of source files.
 COLUMNS = ["entity_id", "business_name", "business_address", "country"]
 SCHEMA = ", ".join(f"{c} string" for c in COLUMNS)
 
