@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+_written: list[str] = []
+
 
 def build_session(app: str = "kinfold", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution and UTC; on a cluster everything else comes from spark-defaults."""
@@ -25,10 +29,22 @@ def build_session(app: str = "kinfold", master: str | None = None, shuffle_parti
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster."""
+    """A new path below spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster. It goes when the driver ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="kinfold-")
-    return f"{folder.rstrip('/')}/kinfold-{name}-{uuid.uuid4().hex}"
+    _written.append(f"{folder.rstrip('/')}/kinfold-{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def _clean_up() -> None:
+    context = SparkContext._active_spark_context
+    if context is not None:
+        for name in _written:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(_clean_up)
