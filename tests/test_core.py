@@ -79,6 +79,7 @@ def test_files(spark, tmp_path):
     with open(path, "w") as f:
         f.write("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t A \tB\tfr\nS1-2\tx\nS1-3\tC\t\tin\n")
     assert [tuple(r) for r in tsv.read_source(spark, path).collect()] == [("S1-1", "A", "B", "fr"), ("S1-3", "C", "", "in")]
+    assert tsv.read_source(spark, path).count() == 2
     assert tuple(tsv.audit_source(spark, path).first()) == (3, 1, True)
     with pytest.raises(Exception):
         tsv.read_source_strict(spark, path).collect()
