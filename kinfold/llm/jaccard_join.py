@@ -33,6 +33,8 @@ LIST = 64
 WHOLE, WHOLE_BYTES, BLOCK, BLOCK_BYTES = 256, 4 << 20, 2048, 4 << 20
 #: The bitmap of wanted texts has 2**BITS to 2**MOST_BITS bits, 16 for each if there is room.
 BITS, MOST_BITS = 22, 27
+#: Rows whose sets a worker makes at a time.
+SLICE = 512
 U = np.uint64
 
 
@@ -45,11 +47,18 @@ def class_limit(percent: int) -> int:
     return int(min(0.5, 0.016 * (100 - percent)) * 2**64)
 
 
+def _slices(batches):
+    """Batches of at most SLICE rows, so that few sets are held at once."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            yield batch.slice(begin, SLICE)
+
+
 def _signatures(k: int, percent: int):
     limit = U(class_limit(percent) - 1)
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column("doc_id")
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             rows: dict[str, list] = {c: [] for c in ("n", "f1", "f2", "n0", "p", "toks")}
@@ -75,7 +84,7 @@ def _full_sets(k: int, bits: int, wanted):
     """Sets of the texts whose id falls into one of 2**bits buckets that is wanted."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column("doc_id")
             known = np.asarray(ids.is_valid())
             bucket = _buckets(np.asarray(ids.fill_null(0)).astype(np.int64), bits)
