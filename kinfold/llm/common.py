@@ -10,6 +10,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import tidy
+
 #: Keys with more rows than HOT, or than a part in MOST_HOT of all rows, are joined by broadcast: there are at most MOST_HOT of them.
 HOT, MOST_HOT = 1000, 100_000
 
@@ -33,13 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and outlives any executor.
+    """Write df to the shared folder and read it back: cuts the lineage, outlives any executor, and leaves no shuffle files.
 
     What nobody unstages, because a result still reads it, is deleted when the driver ends, or by release_all.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinfold_path = path
     _staged.add(path)

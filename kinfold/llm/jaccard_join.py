@@ -11,7 +11,7 @@ candidate, so nearly all postings go before any pair exists.
 
 Bounded work for hot shingles. A shingle with more than LIST nodes in its posting list makes no pairs: each
 member gets one edge to the list's smallest node. Connected components of the candidate edges form clusters;
-clusters are dealt into blocks of up to BLOCK nodes and BLOCK_BYTES bytes, and each pair of blocks of one cluster is compared in one task as a
+clusters are dealt, by rising size of the sets, into blocks of about BLOCK nodes or BLOCK_BYTES bytes, and each pair of blocks whose sizes allow links is compared in one task as a
 blocked matrix product, which decides every pair exactly and returns one row for each node. No row is made for a pair. In clusters of
 more than WHOLE nodes or WHOLE_BYTES bytes of sets a set travels as its symmetric difference from the set of the cluster's smallest node: for sets A, B and
 any R, A ^ B = (A ^ R) ^ (B ^ R), so that intersections follow from the differences, which are short between near copies.
@@ -19,9 +19,11 @@ any R, A ^ B = (A ^ R) ^ (B ^ R), so that intersections follow from the differen
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,6 +37,8 @@ WHOLE, WHOLE_BYTES, BLOCK, BLOCK_BYTES = 256, 4 << 20, 2048, 4 << 20
 BITS, MOST_BITS = 22, 27
 #: Rows whose sets a worker makes at a time.
 SLICE = 512
+#: Bands of sizes between a size and the largest that can be linked with it.
+STEPS = 8
 U = np.uint64
 
 
@@ -199,6 +203,23 @@ def _compare(percent: int):
     return run
 
 
+def size_band(n: Column, percent: int) -> Column:
+    """Sizes in geometric steps: those of linked sets lie at most STEPS + 1 bands apart."""
+    return F.floor(F.ln(n) * (STEPS / math.log(100 / min(percent, 99))))
+
+
+def _ranges(sets: DataFrame) -> DataFrame:
+    """For each cluster and band of sizes: where its sets begin on a line of blocks, the length they take, and the first and last block that sets of linked sizes can lie in.
+
+    A cluster's line is as long as its sets are many or large, in order of their sizes; block i is what lies from i to i + 1.
+    """
+    weight = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("shingles")) / BLOCK_BYTES)
+    by = Window.partitionBy("cluster").orderBy("band")
+    line = sets.groupBy("cluster", "band").agg(weight.alias("weight")).withColumn("begin", F.coalesce(F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    near = by.rangeBetween(-STEPS - 1, STEPS + 1)
+    return line.withColumns({"first": F.floor(F.min("begin").over(near)), "last": F.floor(F.max(F.col("begin") + F.col("weight")).over(near))})
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, n_links.
 
@@ -274,9 +295,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .applyInArrow(_differences, "cluster long, node long, copies long, n long, shingles binary"),
         "differences",
     )
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("long")
-    cells = differing.join(differing.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", every).select(
+    cells = differing.withColumn("band", size_band(F.col("n"), percent))
+    cells = cells.join(_ranges(cells), ["cluster", "band"])
+    share = F.shiftrightunsigned(F.xxhash64("node"), 11) / F.lit(2.0**53)
+    cells = cells.withColumn("block", F.floor(F.col("begin") + share * F.col("weight"))).withColumn("other", F.explode(F.sequence("first", "last"))).select(
         "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "copies", "n", "shingles"
     )
     small = members.where("blocks = 1").select("cluster", F.col("block").alias("lo"), F.col("block").alias("hi"), "node", "block", "copies", "n", "shingles")

@@ -1,6 +1,7 @@
 import hashlib
 import html
 import re
+import time
 import unicodedata
 from collections import Counter
 from itertools import combinations
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kinfold.llm import compression_quality, decontaminate, fingerprints, jaccard_join, language_id, main_text, mixing, quotations, shingles, url_filter, warc
-from kinfold.llm.common import components
+from kinfold.llm.common import components, stage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, t string"
 
@@ -62,6 +63,40 @@ def test_jaccard_join(spark, k, percent, monkeypatch):
     assert got == brute_join(rows, k, percent)
 
 
+def test_sets_go_to_blocks_of_linked_sizes_only(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rows = [(c, int(n), 100 * c + i, bytearray(8)) for c in (1, 2) for i, n in enumerate(np.geomspace(10, 3000, 90))]
+    sets = spark.createDataFrame(rows, "cluster long, n long, node long, shingles binary").withColumn("band", jaccard_join.size_band(F.col("n"), 90))
+    got = [r.asDict() for r in sets.join(jaccard_join._ranges(sets), ["cluster", "band"]).collect()]
+    of = {c: [r for r in got if r["cluster"] == c] for c in (1, 2)}
+    for a in got:
+        begin, end = int(a["begin"]), int(a["begin"] + a["weight"])  # the blocks that the set may lie in
+        for b in of[a["cluster"]]:
+            if 10 * min(a["n"], b["n"]) >= 9 * max(a["n"], b["n"]):
+                assert b["first"] <= begin and end <= b["last"]
+    assert len(got) == 180 and sum(r["last"] - r["first"] + 1 for r in got) < 180 * 4 and max(r["last"] for r in got) >= 11
+
+
+def test_size_bands_of_linked_sets(spark):
+    sizes = spark.range(1, 3000).withColumn("m", F.ceil(F.col("id") * 10 / 9 - 1e-9) - F.when(F.col("id") % 9 == 0, 0).otherwise(1))
+    apart = sizes.select((jaccard_join.size_band(F.col("m"), 90) - jaccard_join.size_band(F.col("id"), 90)).alias("d"))
+    assert 0 <= apart.agg(F.min("d")).first()[0] and apart.agg(F.max("d")).first()[0] <= jaccard_join.STEPS + 1
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    def blocks():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(str(found.apply(i).getName()).startswith("shuffle_") for i in range(found.size()))
+
+    before = blocks()
+    out = stage(spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count(), "tidy")
+    for _ in range(50):  # they are removed in the background
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks() <= before and out.count() == 7
+
+
 def test_jaccard_join_edges(spark):
     assert jaccard_join.jaccard_join(docs(spark, [])).count() == 0
     got = jaccard_join.jaccard_join(docs(spark, [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "A b c d e")]))
