@@ -169,6 +169,21 @@ def test_models(spark, tmp_path):
         matcher.load_model(str(tmp_path / "m"), features.FEATURES[::-1])
 
 
+def test_scores_in_parts(spark):
+    from kinfold.plans import files
+
+    pairs = spark.createDataFrame([(f"S1-{i}", f"S2-{j}", i + j) for i in range(40) for j in range(3)], "s1_id string, cand_id string, hits int")
+    seen = []
+
+    def scores(part):
+        seen.append(part.count())
+        return part.select("s1_id", "cand_id", (F.col("hits") / 100).alias("score"))
+
+    out = files.in_parts(pairs, scores)
+    assert sum(seen) == 120 and max(seen) < 60
+    assert sorted(map(tuple, out.collect())) == sorted((r.s1_id, r.cand_id, r.hits / 100) for r in pairs.collect())
+
+
 def test_strict_files(spark):
     lines = lambda rows: spark.createDataFrame(list(enumerate(rows)), "pos long, value string")
     source = lines([f"S1-{i}\tn\ta\tfr" for i in range(8)])
