@@ -184,6 +184,29 @@ def test_scores_in_parts(spark):
     assert sorted(map(tuple, out.collect())) == sorted((r.s1_id, r.cand_id, r.hits / 100) for r in pairs.collect())
 
 
+def test_short_fields(spark):
+    """Features of pairs that travel with short texts are those of whole fields, and no part repeats a candidate."""
+    from kinfold.plans import files
+
+    rows = [("Apex  Global & Co.", "12 Rue Verte near Temple 75001"), ("Maison de Santé", "9 Long Street opp. Bank 110001"), ("स्टार Loggistics Pvt Ltd", "३४ Road 40007"), ("", ""), ("ab", "7"), ("IBM", "9 Long Street Bengaluru"), (None, None), ("Apex Global", "")]
+    made = records(spark.createDataFrame([(f"S{1 + i % 3}-{i}", n, a, "in") for i, (n, a) in enumerate(rows * 3)], "entity_id string, business_name string, business_address string, country string"))
+    ids = made.select(F.col("entity_id").alias("s1_id")).crossJoin(made.select(F.col("entity_id").alias("cand_id"))).withColumn("channel_hits", F.lit(1))
+    side = lambda frame, key, x: frame.select(F.col("entity_id").alias(key), x)
+    b = side(features.with_feature_fields(made), "cand_id", F.struct("fields").alias("b"))
+    whole = features.pair_features(ids.join(side(features.with_feature_fields(made), "s1_id", F.struct("fields").alias("a")), "s1_id").join(b, "cand_id"))
+    short = features.with_fields_of(ids.join(side(features.with_short_fields(made), "s1_id", F.col("short").alias("a")), "s1_id").join(b, "cand_id"), "a")
+    got = lambda frame: sorted(map(tuple, frame.select("s1_id", "cand_id", *features.FEATURES).collect()))
+    assert got(features.pair_features(short, a="a_")) == got(whole) and len(got(whole)) == 24 * 24
+    old = lambda frame: sorted(map(tuple, frame.select("s1_id", "cand_id", *features.LEGACY_FEATURES).collect()))
+    b = side(features.with_legacy_fields(made), "cand_id", F.struct("fields").alias("b"))
+    whole = features.legacy_pair_features(ids.join(side(features.with_legacy_fields(made), "s1_id", F.struct("fields").alias("a")), "s1_id").join(b, "cand_id"))
+    short = features.with_legacy_fields_of(ids.join(side(made, "s1_id", features.short_legacy_fields().alias("a")), "s1_id").join(b, "cand_id"), "a")
+    assert old(features.legacy_pair_features(short, a="a_")) == old(whole)
+    parts = []
+    files.in_parts(ids.withColumn("score", F.lit(0.5)), lambda p: parts.append({r.cand_id for r in p.collect()}) or p)
+    assert sum(map(len, parts)) == len(set().union(*parts)) == 24
+
+
 def test_strict_files(spark):
     lines = lambda rows: spark.createDataFrame(list(enumerate(rows)), "pos long, value string")
     source = lines([f"S1-{i}\tn\ta\tfr" for i in range(8)])
