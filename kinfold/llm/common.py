@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -85,14 +86,15 @@ def hot_limit(total: int) -> int:
     return max(HOT, total // MOST_HOT)
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, how: str = "inner", most: int | None = None) -> DataFrame:
     """rows joined (inner or left) with facts, one row a key, whose column n counts the rows of the key.
 
     The few keys that hold many rows are joined by broadcast, so that their rows stay where they are; all others by
     shuffling, with at most hot_limit(total) rows of a key in a task. Column n doesn't come out. rows is read twice.
+    most, where the caller knows it, is n of the largest key or more: if that isn't hot, one plain join is planned, without broadcasts.
     """
     limit = hot_limit(total)
-    if total <= limit:
+    if min(total, total if most is None else most) <= limit:
         return rows.join(facts.drop(n), keys, how)
     hot, cold = F.broadcast(facts.where(F.col(n) > limit).drop(n)), facts.where(F.col(n) <= limit).drop(n)
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(facts.where(F.col(n) > limit).select(*keys)), keys, "left_anti").join(cold, keys, how))
@@ -124,36 +126,50 @@ def components(edges: DataFrame) -> DataFrame:
     Returns (node, label) for every node that has an edge; label is the smallest node of its component.
     Each round is an aggregation with map-side combining and a join that leaves the edges of hubs where they are, so
     that a hub with a large share of the edges doesn't land in one task. The rounds are written
-    to the shared folder. Their number grows with the logarithm of the component size.
+    to the shared folder. Their number grows with the logarithm of the component size; none follows once each component
+    is a star around its smallest node. The driver's garbage is collected after each round, since plans and broadcasts
+    of many rounds would otherwise widen its heap and stay in the executors' memory.
     """
     a, b = edges.columns[:2]
     now = stage(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
     )
-    mark = _edge_mark(now)
-    while mark[0]:
+    while True:
+        n, most, most_up, is_open = _shape(now)
+        if not is_open:
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        met = join_hot(both, least, ["u"], "n", 2 * mark[0])
+        met = join_hot(both, least, ["u"], "n", 2 * n, most=most)
         large = stage(met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         root = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        # A node has at most one row in large for each of its edges to a smaller node.
         small = (
-            join_hot(large, root, ["u"], "n", 2 * mark[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_hot(large, root, ["u"], "n", 2 * n, most=most_up).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(root.select("u", F.col("m").alias("v")))
             .where("u != v").distinct()
         )
         after = stage(small, "edges")
-        later = _edge_mark(after)
         unstage(now, large)
         now = after
-        if later == mark:
-            break
-        mark = later
+        collect_garbage(now.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
 
 
-def _edge_mark(edges: DataFrame) -> tuple:
-    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), digest).first())
+def _shape(edges: DataFrame) -> tuple[int, int, int, bool]:
+    """Of distinct edges (u, v) with u > v: their number, the most edges of a node, the most to smaller nodes, and whether a node has two smaller ones or both kinds."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    is_open = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
+    n, most, most_up, open_ = nodes.agg(F.sum("up"), F.max(F.col("up") + F.col("down")), F.max("up"), F.max(is_open)).first()
+    return n or 0, most or 0, most_up or 0, bool(open_)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage now: its heap shrinks to what it holds, and Spark removes broadcasts that no plan uses."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

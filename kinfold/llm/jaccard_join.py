@@ -237,15 +237,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     # Postings: one representative per class, its first shingles, those that other nodes have too.
     classes = stage(classes, "classes")
-    size = classes.agg(F.sum("copies"), F.sum(F.when(F.col("copies") > 1, F.col("copies")))).first()
-    n_live, n_copies = size[0] or 0, size[1] or 0
+    size = classes.agg(F.sum("copies"), F.sum(F.when(F.col("copies") > 1, F.col("copies"))), F.max("copies")).first()
+    n_live, n_copies, most_copies = (x or 0 for x in size)
     repeated = classes.where("copies > 1").select("f1", "f2", "kept", "copies")
-    extra = stage(join_hot(live.select("rid", "f1", "f2"), repeated, ["f1", "f2"], "copies", n_copies).where("rid <> kept").select("rid"), "extra")
+    extra = stage(join_hot(live.select("rid", "f1", "f2"), repeated, ["f1", "f2"], "copies", n_copies, most=most_copies).where("rid <> kept").select("rid"), "extra")
     reps = live.join(extra, "rid", "left_anti")
     posted = reps.select("rid", F.explode("toks").alias("t"))
     df = stage(posted.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumn("rows", F.col("df")), "df")
-    n_posted = df.agg(F.sum("df")).first()[0] or 0
-    shared = join_hot(posted, df, ["t"], "rows", n_posted).join(reps.select("rid", F.col("doc_id").alias("node"), "n", "n0", "p"), "rid")
+    n_posted, most_posted = (x or 0 for x in df.agg(F.sum("df"), F.max("df")).first())
+    shared = join_hot(posted, df, ["t"], "rows", n_posted, most=most_posted).join(reps.select("rid", F.col("doc_id").alias("node"), "n", "n0", "p"), "rid")
 
     first = (F.col("t") >= 0) & (F.col("t") < F.lit(min(class_limit(percent), 2**63 - 1)))
     by_set = Window.partitionBy("rid")
@@ -259,8 +259,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     prefix = stage(ranked.withColumn("mask", mask).where("mask > 0").select("t", "node", "n", "mask"), "prefix")
     unstage(extra, df)
 
-    lists = prefix.groupBy("t").agg(F.count_distinct("node").alias("len"), F.min("node").alias("least"), F.count(F.lit(1)).alias("rows")).where("len > 1")
-    listed = join_hot(prefix, stage(lists, "lists"), ["t"], "rows", n_posted)
+    lists = stage(prefix.groupBy("t").agg(F.count_distinct("node").alias("len"), F.min("node").alias("least"), F.count(F.lit(1)).alias("rows")).where("len > 1"), "lists")
+    listed = join_hot(prefix, lists, ["t"], "rows", n_posted, most=lists.agg(F.max("rows")).first()[0] or 0)
     a, b = listed.where(f"len <= {LIST}").alias("a"), prefix.alias("b")
     pairs = (
         a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.node") < F.col("b.node"))
@@ -271,7 +271,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     hubs = listed.where(f"len > {LIST}").select(F.col("least").alias("u"), F.col("node").alias("v"))
     clusters = stage(components(pairs.unionByName(hubs)).select("node", F.col("label").alias("cluster")), "clusters")
-    unstage(prefix)
+    unstage(prefix, lists)
 
     # Whole sets of the nodes in clusters; a bitmap of buckets skips nearly all other texts.
     bits = min(MOST_BITS, max(BITS, (16 * clusters.count()).bit_length()))
@@ -283,8 +283,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sized = clusters.join(classes.select("node", "f1", "copies", F.col("n").alias("size")), "node")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / WHOLE, F.sum("size") * 8 / WHOLE_BYTES)).cast("long")
     by_cluster = stage(sized.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("nodes")), "sizes")
-    nodes = by_cluster.agg(F.sum("nodes")).first()[0] or 0
-    placed = join_hot(sized.drop("size"), by_cluster, ["cluster"], "nodes", nodes).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    nodes, most_nodes = (x or 0 for x in by_cluster.agg(F.sum("nodes"), F.max("nodes")).first())
+    placed = join_hot(sized.drop("size"), by_cluster, ["cluster"], "nodes", nodes, most=most_nodes).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     members = stage(placed.join(sets.withColumnRenamed("doc_id", "node"), ["node", "f1"]).dropDuplicates(["node", "f1"]), "members")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     columns = ["cluster", "blocks", "block", "node", "copies", "n", "f1", "shingles"]
@@ -316,7 +316,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     usable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     named = stage(named, "named")
     unstage(classes, compared)
-    out = join_hot(all_sets.select("doc_id", "n", "f1", "f2"), named, ["f1", "f2"], "copies", n_live, "left").select(
+    out = join_hot(all_sets.select("doc_id", "n", "f1", "f2"), named, ["f1", "f2"], "copies", n_live, "left", most_copies).select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(usable, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(usable, F.col("class_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),

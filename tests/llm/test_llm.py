@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kinfold.llm import compression_quality, decontaminate, fingerprints, jaccard_join, language_id, main_text, mixing, quotations, shingles, url_filter, warc
-from kinfold.llm.common import components, stage
+from kinfold.llm import common
+from kinfold.llm.common import components, join_hot, stage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, t string"
 
@@ -27,6 +28,44 @@ def test_components(spark):
     assert {(r.node, r.label) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 6)}
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_components_of_random_graphs(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, 1000 + i) for i in range(1, 90)] + [(2000 + i, 2001 + i) for i in range(40)]
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    got = [(r.node, r.label) for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()]
+    assert sorted(got) == sorted((x, root(x)) for x in linked)
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Each round plans a dozen exchanges that the driver holds; a forest of stars is done as it comes."""
+    written = []
+    monkeypatch.setattr(common, "stage", lambda df, label, stage=common.stage: written.append(label) or stage(df, label))
+    edges = spark.createDataFrame([(1, 2), (3, 1), (9, 9), (5, 4), (2, 1)], "a long, b long")
+    assert {tuple(r) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    assert written == ["edges"]
+    assert components(edges.where("a = 9")).count() == 0
+
+
+def test_joins_without_hot_keys_plan_no_broadcast(spark):
+    rows = spark.range(5000).selectExpr("id % 100 as k", "id")
+    facts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    plans = [join_hot(rows, facts, ["k"], "n", 5000, most=most)._jdf.queryExecution().optimizedPlan().toString() for most in (50, 1001)]
+    assert ["broadcast" in x for x in plans] == [False, True]
+    assert join_hot(rows, facts, ["k"], "n", 5000, most=50).count() == join_hot(rows, facts, ["k"], "n", 5000, most=1001).count() == 5000
+
+
 def test_word_hashes():
     text = "Ab cd\tÉé  ab\n".encode() * 3
     one = shingles.word_hashes(text)
