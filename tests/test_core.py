@@ -1,3 +1,5 @@
+import inspect
+
 import duckdb
 import numpy as np
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from kinfold import catalog
 from kinfold.functions import similarity as S
 from kinfold.functions import text as T
-from kinfold.operators import channels, decide, dense, features, matcher, metrics, sampling, validate
+from kinfold.operators import boosting, channels, decide, dense, features, matcher, metrics, sampling, validate
 from kinfold.operators.records import records
 from kinfold.sources import tsv
 from kinfold.streaming import arrivals
@@ -169,6 +171,66 @@ def test_models(spark, tmp_path):
         matcher.load_model(str(tmp_path / "m"), features.FEATURES[::-1])
 
 
+def test_pair_texts(spark):
+    """Features made of one text a record, in Python, are those of the JVM."""
+    from kinfold.operators import pair_texts
+
+    rows = [("Apex  Global & Co.", "12 Rue Verte near Temple 75001"), ("Maison de Santé", "9 Long Street opp. Bank 110001"), ("स्टार Loggistics Pvt Ltd", "३४ Road 40007"), ("", ""), ("ab", "7"), ("IBM", "9 Long Street Bengaluru"), (None, None), ("Apex Global", "the 9"), ("apex the apex the", "9 9 75001 \t75002"), ("India Best Market", "= 7")]
+    made = records(spark.createDataFrame([(f"S{1 + i % 3}-{i}", n, a, "in") for i, (n, a) in enumerate(rows * 3)], "entity_id string, business_name string, business_address string, country string"))
+    ids = made.select(F.col("entity_id").alias("s1_id")).crossJoin(made.select(F.col("entity_id").alias("cand_id"))).withColumns({"hits": F.lit(2).cast("long"), "channel_hits": F.lit(2)})
+    side = lambda frame, key, x: frame.select(F.col("entity_id").alias(key), x)
+    for fields, text, jvm, names in (
+        (features.with_feature_fields, pair_texts.with_text, features.pair_features, features.FEATURES),
+        (features.with_legacy_fields, pair_texts.with_legacy_text, features.legacy_pair_features, features.LEGACY_FEATURES),
+    ):
+        a, b = (side(fields(made), key, F.struct("fields").alias(x)) for key, x in (("s1_id", "a"), ("cand_id", "b")))
+        want = jvm(ids.join(a, "s1_id").join(b, "cand_id")).select("s1_id", "cand_id", *names)
+        got = pair_texts.featured(ids.drop("channel_hits"), *[side(text(made), key, "text") for key in ("s1_id", "cand_id")], legacy=names is features.LEGACY_FEATURES).select("s1_id", "cand_id", *names)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 900
+
+
+def test_trees():
+    """A first split against all possible ones, scores against a walk down the trees, and all leaves and rounds asked for."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 40, (4000, 4)) / 40
+    x[:, 3] = 0.5
+    y = (np.sin(9 * x[:, 0]) + x[:, 1] * x[:, 2] + rng.normal(scale=0.3, size=4000) > 0.5).astype(float)
+    edges = [sorted(set(c)) for c in x.T.tolist()]
+    cut = [(x[:1500], y[:1500]), (x[1500:1500], y[1500:1500]), (x[1500:], y[1500:])]
+    one = boosting.grow(cut, list("abcd"), edges, 1, 2, 1, 1.0, 1.0, 40, 1)
+    best = max((sum((y[s] - y.mean()).sum() ** 2 / s.sum() for s in (x[:, j] <= e, x[:, j] > e)), j, k) for j in range(3) for k, e in enumerate(edges[j][:-1]) if min((x[:, j] <= e).sum(), (x[:, j] > e).sum()) >= 40)
+    assert (one.feature[0][0], one.bin[0][0]) == best[1:]
+    whole = boosting.grow(cut, list("abcd"), edges, 250, 63, 8, 0.08, 0.85, 20, 42)
+    assert len(whole.feature) == 250 and {sum(f < 0 for f in tree) for tree in whole.feature[:10]} == {63}
+    raw = np.full(200, whole.start)
+    for feature, limit, left, value in zip(whole.feature, whole.bin, whole.left, whole.value, strict=True):
+        for i in range(200):
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + int(x[i, feature[node]] > edges[feature[node]][limit[node]])
+            raw[i] += value[node]
+    assert np.allclose(whole.probability(x[:200]), 1 / (1 + np.exp(-raw)), rtol=0, atol=1e-12)
+    assert np.mean((whole.probability(x) > 0.5) == y) > 0.9 and whole.gain[3] == 0
+    for labels in (np.zeros(50), np.ones(50)):
+        assert np.allclose(boosting.grow([(x[:50], labels)], list("abcd"), edges, 5, 63, 8, 0.1, 0.85, 10, 1).probability(x[:9]), labels[:9], atol=1e-6)
+
+
+@pytest.mark.parametrize(("name", "sizes"), [("ml_gbdt", (250, 63, 8, 0.08, 0.85, 40))])
+def test_published_sizes(spark, monkeypatch, name, sizes):
+    """Both halves' models have the rounds, leaves, depth, step, share of features and least rows that were published."""
+    real, seen = matcher.train, []
+
+    def train(rows, **given):
+        asked = inspect.signature(real).bind(rows, **given)
+        asked.apply_defaults()
+        seen.append(tuple(asked.arguments[k] for k in ("trees", "leaves", "depth", "step", "share", "least")))
+        return real(rows, **given | {"trees": 1})
+
+    monkeypatch.setattr(matcher, "train", train)
+    scores = catalog.QUERIES[name](spark, SF)
+    assert seen == [sizes, sizes] and scores.count() == scores.select("s1_id", "cand_id").distinct().count() > 0
+
+
 def test_scores_in_parts(spark):
     from kinfold.plans import files
 
