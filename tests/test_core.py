@@ -215,7 +215,7 @@ def test_trees():
         assert np.allclose(boosting.grow([(x[:50], labels)], list("abcd"), edges, 5, 63, 8, 0.1, 0.85, 10, 1).probability(x[:9]), labels[:9], atol=1e-6)
 
 
-@pytest.mark.parametrize(("name", "sizes"), [("ml_gbdt", (250, 63, 8, 0.08, 0.85, 40))])
+@pytest.mark.parametrize(("name", "sizes"), [("ml_gbdt", (250, 63, 8, 0.08, 0.85, 40)), ("ml_gbdt_legacy", (150, 31, 6, 0.1, 0.8, 50))])
 def test_published_sizes(spark, monkeypatch, name, sizes):
     """Both halves' models have the rounds, leaves, depth, step, share of features and least rows that were published."""
     real, seen = matcher.train, []
